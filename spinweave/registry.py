@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import emb
+from .plans import emb, lattice, signed, spectra, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return [emb]
+    return [emb, lattice, signed, spectra, tables]
 
 
 def queries() -> dict[str, Query]:
