@@ -32,9 +32,9 @@ from . import text as tx
 
 U64 = np.uint64
 THRESHOLD = 0.8
-STEPS, SAMPLES, REPEATS = 12, 3, 6
-#: share of a walk's emissions that must agree before a place is verified
-AGREE = 0.4
+STEPS, SAMPLES, REPEATS = 12, 4, 8
+#: share of the words that an item's walk visits that must agree before a place is verified
+AGREE = 0.6
 #: bytes of benchmark text in a block
 BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 20
@@ -89,6 +89,7 @@ class Index:
     owner: list[np.ndarray] = field(default_factory=list)
     tables: list[np.ndarray] = field(default_factory=list)
     walks: list[np.ndarray] = field(default_factory=list)
+    fresh: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         place, item, joined, at = [], [], [], 0
@@ -107,7 +108,9 @@ class Index:
         h = np.concatenate(joined) if joined else np.zeros(0, U64)
         rng = np.random.default_rng(20240611)
         self.bits = (rng.integers(1, 1 << 63, (REPEATS, self.steps), dtype=np.uint64) << U64(1)) | U64(1)
-        self.sample = np.sort(np.array([rng.choice(self.steps, min(SAMPLES, self.steps), replace=False) for _ in range(REPEATS)]), 1)
+        # one step of each stretch of the walk, so that a pointer that stays for some steps isn't sampled over and over
+        edges = np.linspace(0, self.steps, min(SAMPLES, self.steps) + 1).astype(int)
+        self.sample = np.array([[rng.integers(a, b) for a, b in zip(edges, edges[1:], strict=False)] for _ in range(REPEATS)])
         for r in range(REPEATS):
             emitted, key = self.walk(h, self.place, r)
             order = np.argsort(key, kind="stable")
@@ -117,7 +120,9 @@ class Index:
             self.owner.append(order)
             self.tables.append(table)
             self.walks.append(emitted)
+            self.fresh.append(self.moves(h, self.place, r))
         self.masks: list[dict[int, int]] = []
+        self.counts = [dict(zip(*(x.tolist() for x in np.unique(h, return_counts=True)), strict=True)) for h in self.items]
         for h in self.items:
             m: dict[int, int] = {}
             for i, c in enumerate(h.tolist()):
@@ -141,6 +146,15 @@ class Index:
             at += ((x * self.bits[r, j]) >> U64(63)).astype(np.int64)
         return out, key * U64(0xBF58476D1CE4E5B9)
 
+    def moves(self, h: np.ndarray, start: np.ndarray, r: int) -> np.ndarray:
+        """Which steps of the walks from start read a word for the first time."""
+        at, out = start.copy(), np.ones((len(start), self.steps), bool)
+        for j in range(self.steps - 1):
+            bit = ((h[at] * self.bits[r, j]) >> U64(63)).astype(np.int64)
+            out[:, j + 1] = bit == 1
+            at += bit
+        return out
+
     def find(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, distance, end word) of every text and item within the threshold; h: words of all texts, at: their ranges."""
         start = np.arange(len(h)) if self.every else anchors(h)
@@ -159,7 +173,8 @@ class Index:
             first = np.cumsum(count) - count
             k = self.owner[r][np.repeat(lo - first, count) + np.arange(count.sum())]
             emitted, _ = self.walk(ext, s, r)
-            ok = (emitted == self.walks[r][k]).mean(1) >= AGREE
+            fresh = self.fresh[r][k]
+            ok = ((emitted == self.walks[r][k]) & fresh).sum(1) >= AGREE * fresh.sum(1)
             where.append(s[ok])
             which.append(k[ok])
         if not where:
@@ -180,7 +195,11 @@ class Index:
                 continue
             lo, hi = max(int(at[d]), line - 2 * allowed), min(int(at[d + 1]), line + n + 2 * allowed)
             done[d, i] = line + allowed
-            distance, end = edit_end(self.masks[i], n, h[lo:hi].tolist())
+            window = h[lo:hi].tolist()
+            # each of the item's words that the window lacks costs an edit at least
+            if n - sum(map(self.counts[i].get, self.counts[i].keys() & set(window))) > allowed:
+                continue
+            distance, end = edit_end(self.masks[i], n, window)
             if distance <= allowed and (known is None or distance < known[0]):
                 best[d, i] = (distance, lo - int(at[d]) + end)
         for (d, i), (distance, end) in best.items():
