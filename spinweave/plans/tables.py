@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars as SC
 from ..functions import stats as S
 from ..operators import graph as G
 from .common import r6
@@ -238,4 +239,44 @@ def event_sessions(spark, d):
     return events.sessions(_t(spark, d, "events")).select("user_id", "start", "n")
 
 
+@query("SELECT a AS x0, b AS x1, c AS x2 FROM range(3) a(a), range(4) b(b), range(2) c(c)")
+def range_product(spark, d):
+    return SC.product(spark, [3, 4, 2])
+
+
+@query("SELECT l_discount AS x, CAST(round(l_discount * 100) / g AS BIGINT) AS num, CAST(100 / g AS BIGINT) AS den FROM (SELECT DISTINCT l_discount, gcd(CAST(round(l_discount * 100) AS BIGINT), 100) AS g FROM lineitem)")
+def fractions(spark, d):
+    x = _t(spark, d, "lineitem").select("l_discount").distinct()
+    return x.select(F.col("l_discount").alias("x"), SC.fraction(F.col("l_discount"), 2).alias("f")).select("x", "f.num", "f.den")
+
+
+@query("SELECT c_custkey, round(c_acctbal / sqrt(sum(c_acctbal * c_acctbal) OVER (PARTITION BY c_nationkey)), 6) + 0.0 AS v FROM customer")
+def unit_vectors(spark, d):
+    return SC.unit_vector(_t(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").alias("v")), "v", ["c_nationkey"]).select("c_custkey", r6(F.col("v")).alias("v"))
+
+
+@query("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice - (SELECT min(p_retailprice) FROM part) <= 20")
+def within_of_least(spark, d):
+    return SC.within_of_least(_t(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 20)
+
+
+@query("SELECT p_partkey, round(2 * p_size + 0.5::DOUBLE, 6) AS line, round(3 * (1 - 0.25 / pow(abs(p_size), 1.5)), 6) AS model FROM part WHERE p_size <> 0")
+def line_and_model(spark, d):
+    x = F.col("p_size").cast("double")
+    return _t(spark, d, "part").where("p_size <> 0").select("p_partkey", r6(SC.line(x, 2, 0.5)).alias("line"), r6(SC.saturation(x, 0.25, 3, 1.5)).alias("model"))
+
+
+@query("SELECT CAST(id AS DOUBLE) AS x, round((id // 5 * 5) * (id // 5 * 5) + (id % 5) * ((id // 5 * 5 + 5) * (id // 5 * 5 + 5) - (id // 5 * 5) * (id // 5 * 5)) / 5.0, 6) AS v FROM range(1, 44) t(id)")
+def interpolated(spark, d):
+    pts = spark.range(10).select((F.col("id") * 5.0).alias("x"), F.pow(F.col("id") * 5.0, 2).alias("v"))
+    return SC.interpolate(pts, spark.range(1, 44).select(F.col("id").cast("double").alias("x"))).select("x", r6(F.col("v")).alias("v"))
+
+
+@query("WITH p AS (SELECT id * 7 % 20 AS c, id * 3 % 20 AS r, CAST(id AS DOUBLE) AS v FROM range(40) t(id)), o AS (SELECT r, c, avg(v) AS v FROM p GROUP BY 1, 2), g AS (SELECT a.r, b.c FROM range(20) a(r), range(20) b(c)) SELECT g.r, g.c, arg_min(o.v, pow(g.r - o.r, 2) * 1000000 + pow(g.c - o.c, 2) * 1000000 + o.r * 100 + o.c) AS v FROM g, o GROUP BY 1, 2")
+def grid_nearest(spark, d):
+    i = F.col("id")
+    pts = spark.range(40).select((i * 7 % 20 + 0.5).alias("x"), (i * 3 % 20 + 0.5).alias("y"), i.cast("double").alias("v"))
+    return SC.grid_nearest(pts, 20, 20.0)
+
+
 QUERIES = Q

@@ -190,3 +190,26 @@ def test_streams(spark, tmp_path, sf_dir):
     w.processAllAvailable()
     w.stop()
     assert spark.sql("SELECT sum(n) FROM windows").first()[0] == e.count()
+
+
+def test_sweeps_go_on_where_they_stopped(spark, tmp_path):
+    from spinweave.plans import sweep
+
+    path, points = str(tmp_path / "sweep"), [{"side": 6, "p": 0.1, "temperature": 1.0}, {"side": 6, "p": 0.1, "temperature": 2.0}]
+    assert sweep.run(spark, path, points[:1], 2, sweep.ising_kernel) == 2
+    first = sorted(map(str, sweep.results(spark, path).collect()))
+    assert sweep.run(spark, path, points, 3, sweep.ising_kernel) == 4 and sweep.run(spark, path, points, 3, sweep.ising_kernel) == 0
+    rows = sweep.results(spark, path)
+    assert set(first) <= set(map(str, rows.collect()))
+    assert {r["n"] for r in sweep.averages(rows, ["temperature", "step", "metric"], "value").collect()} == {3}
+    assert sweep.cached(spark, str(tmp_path / "t"), lambda: spark.range(3)).count() == 3 == sweep.cached(spark, str(tmp_path / "t"), lambda: spark.range(9)).count()
+    assert sweep.run(spark, str(tmp_path / "pc"), [{"side": 5, "p": 0.2}], 2, sweep.percolation_kernel) == 2
+
+
+def test_random_strings_and_products(spark):
+    from spinweave.functions import scalars as SC
+
+    got = [r["rid"] for r in SC.random_ids(spark.range(50), "id", 12).collect()]
+    assert len(set(got)) == 50 and all(len(x) == 12 and x.isalnum() for x in got)
+    basis = spark.range(80).select(F.expr("cast(id div 16 as int)").alias("k"), (F.col("id") % 16).alias("node"), H.spin("id").alias("s"))
+    assert {r["s"] for r in SC.random_product(basis, 1).collect()} <= {-1, 1}
