@@ -39,13 +39,16 @@ def serialize(ids: np.ndarray, width: int) -> bytes:
 def train_dictionary(docs: DataFrame, *, tokenizer: str | None = None, sample_docs: int = 512, max_sample_chars: int = 16384, dict_bytes: int = 32768, width: int = 2) -> bytes:
     """A dictionary from the serialized ids of sample_docs documents of 1 to max_sample_chars characters.
 
-    The sample (the lowest hashes) and so what reaches the driver is bounded,
+    The sample (low hashes) and so what reaches the driver is bounded,
     sample_docs * max_sample_chars characters; the documents that it serves
     are the short ones. Too small a sample gives the empty dictionary.
     """
     import zstandard
 
-    rows = docs.where(F.length("text").between(1, max_sample_chars)).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(sample_docs).collect()
+    # only rows under a hash bound compete, so that tasks send few of them to the driver however many tasks there are
+    share = min(1.0, 8 * sample_docs / max(1, docs.count()))
+    near = docs.where((F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))) & F.length("text").between(1, max_sample_chars))
+    rows = near.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(sample_docs).collect()
     if len(rows) < 16:
         return b""
     ids, at = bpe.shared(tokenizer).encode([r["text"] for r in rows])
