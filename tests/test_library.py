@@ -213,3 +213,13 @@ def test_random_strings_and_products(spark):
     assert len(set(got)) == 50 and all(len(x) == 12 and x.isalnum() for x in got)
     basis = spark.range(80).select(F.expr("cast(id div 16 as int)").alias("k"), (F.col("id") % 16).alias("node"), H.spin("id").alias("s"))
     assert {r["s"] for r in SC.random_product(basis, 1).collect()} <= {-1, 1}
+
+
+def test_command_line(spark, tmp_path):
+    from spinweave import cli
+
+    assert cli.values("(0,1,3); 1/4") == [0.0, 0.5, 1.0, 0.25]
+    with pytest.raises(Exception):
+        cli.values("(0,1")
+    run = ["ising", str(tmp_path / "t"), "--side", "4", "--p", "(0.1,0.2,2)", "--temperature", "1", "--sweeps", "2", "--replicas", "2"]
+    assert cli.main(run) == 4 and cli.main(run) == 0
