@@ -10,7 +10,7 @@ replacement, in proportion to the weights to the power ``sharpness``: the k
 documents of the greatest ``sharpness * log weight + Gumbel noise``, k being
 the number of documents with a positive log weight.
 
-Labels are taken from a bounded sample, ``max_labelled`` rows of the least
+Labels are taken from a bounded sample, ``max_labelled`` rows of low
 hashes; every other one of them makes the target model and the rest are
 fitted. The sample alone (ids, labels and features) reaches the driver besides the
 two models, whose size is fixed. Counts cover all documents.
@@ -228,7 +228,10 @@ def select(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     kinds nothing can be told and all documents are kept.
     """
     good = F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").dropna().groupBy("doc_id").agg(good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
+    # only rows under a hash bound compete, so that tasks send few of them to the driver however many tasks there are
+    share = min(1.0, 4 * max_labelled / max(1, labels.count()))
+    near = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").dropna().where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = near.groupBy("doc_id").agg(good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
     # One half is counted, the other fitted: a counted document knows its own n-grams.
     label = {r["doc_id"]: int(r["good"]) for r in rows[1::2]}
     counted = np.array(sorted(r["doc_id"] for r in rows[::2] if r["good"]), np.int64)
