@@ -11,14 +11,16 @@ register with the probability of their probability Jaccard similarity
 
 which is the plain Jaccard similarity if all weights are equal.
 
-Equal texts are first made one node. Nodes that share a band's registers meet;
-of a band's group only the pairs of a maximum spanning tree by estimated
-similarity are candidates (and the best two of each node where an estimate is
-near the threshold), so a group of n gives O(n) candidates, and every
-candidate is verified exactly. Groups over ``GROUP`` nodes are dealt over
-several tasks; each task passes on one node (the most central) of every part
-that it found connected, until a group fits. With 20 bands of 5 registers a
-pair at 0.8 meets with probability 0.9997.
+Equal texts are first made one node. Nodes that share a band's registers meet,
+and every candidate is verified exactly. First come the candidates that are
+likely to join much: the pairs of a maximum spanning tree of each band's group
+by estimated similarity (and the best two of each node where an estimate is
+near the threshold), in groups over ``GROUP`` nodes part by part and then among
+one node (the most central) of every part found connected. Then ``rest`` takes
+all other pairs of a group, of whatever parts, that no verified links join and
+whose estimate reaches ``threshold - SLACK``; large groups are dealt out by
+pairs of blocks. With 20 bands of 5 registers a pair at 0.8 meets with
+probability 0.9997.
 """
 
 from __future__ import annotations
@@ -235,7 +237,7 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found = pairs if found is None else found.unionByName(pairs)
         rows = met.where(F.col("b").isNull()).select(F.col("a").alias("node"), "key")
         left = rows.count()
-        # A group whose parts no longer join has been compared in blocks; it goes on only while it shrinks.
+        # goes on only while groups shrink: rest() compares what is left
         if left == 0 or (before is not None and left > 0.95 * before):
             break
         before = left
@@ -243,15 +245,118 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.distinct()
 
 
-VERIFY = "a binary, b binary, similarity double"
+def _apart(key: int, nodes: list[bytes], codes: np.ndarray, bands: np.ndarray, roots: list[bytes], left: np.ndarray, right: np.ndarray, least: float, hubs: bool) -> list[tuple[bytes, bytes]]:
+    """Pairs of a left and a right member of a group that have different roots, an estimate of least or more and no earlier band in common.
+
+    ``hubs``: only each member's pairs with the most central ones of either side.
+    """
+    _, root = np.unique(np.array(roots, object), return_inverse=True)
+    other = codes[right]
+    est = np.stack([(codes[x] == other).sum(1) for x in left]) / codes.shape[1]
+    ok = ((est - 1 / 256) * (256 / 255) >= least) & (root[left][:, None] != root[right])
+    if left is right:
+        ok = np.triu(ok, 1)
+    if hubs:
+        keep = np.zeros_like(ok)
+        keep[est.sum(1).argmax()] = True
+        keep[:, est.sum(0).argmax()] = True
+        ok &= keep
+    i, j = np.nonzero(ok)
+    i, j = left[i], right[j]
+    out = []
+    for at in range(0, len(i), 1 << 16):
+        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        first = (bands[x] == bands[y]).argmax(1)
+        here = np.ones(len(x), bool) if hubs else bands[x, first] == key
+        out += [(min(nodes[u], nodes[v]), max(nodes[u], nodes[v])) for u, v in zip(x[here].tolist(), y[here].tolist(), strict=True)]
+    return out
+
+
+PAIRS = "a binary, b binary"
+
+
+def _blocks(rows: DataFrame, threshold: float, hubs: bool) -> DataFrame:
+    """rows(key, p, q, side, node, root, codes, bands): pairs (a, b) of each block pair's sides, of its one side if p = q."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            side, nodes, roots, codes, bands = zip(*held, strict=True)
+            side = np.array(side)
+            left, right = np.flatnonzero(side == now[1]), np.flatnonzero(side == now[2])
+            if not len(left) or not len(right):
+                return
+            codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(nodes), -1)
+            got = _apart(now[0], nodes, codes, np.array(bands, np.int64), roots, left, left if now[1] == now[2] else right, threshold - SLACK, hubs)
+            for at in range(0, len(got), 10000):
+                a, b = zip(*got[at : at + 10000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+        for b in batches:
+            for key, p, q, *row in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+                if (key, p, q) != now:
+                    yield from flush()
+                    held.clear()
+                    now = (key, p, q)
+                held.append(tuple(row))
+        yield from flush()
+
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node").select("key", "p", "q", "side", "node", "root", "codes", "bands").mapInArrow(work, PAIRS)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pairs (a, b, similarity) whose texts' exact J_P reaches the threshold."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def rest(nodes: DataFrame, roots: DataFrame, threshold: float, hubs: bool) -> DataFrame | None:
+    """nodes(node, codes, bands), roots(node, root) -> pairs (a, b) of a band's groups that have different roots.
+
+    ``hubs``: only pairs with the most central nodes of each block, or None if
+    no group takes several blocks. Of a group, nodes of its most frequent root
+    (blocks below 0) meet only the others (blocks from 0), and the others also
+    each other.
+    """
+    named = nodes.where(F.col("bands").isNotNull()).select("node", "codes", "bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = named.select("node", "root", F.explode("bands").alias("key"))
+    kinds = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    groups = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where(F.col("n") > F.col("main.n"))
+    groups = common.saved(groups.select("key", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / GROUP).alias("pm"), F.ceil((F.col("n") - F.col("main.n")) / GROUP).alias("po")))
+    if hubs and not groups.where("pm + po > 2").head(1):
+        return None
+    salt = F.xxhash64("node", "key")
+    own = rows.join(groups, "key").withColumn("side", F.when(F.col("root") == F.col("main"), -1 - F.pmod(salt, "pm")).otherwise(F.pmod(salt, "po")))
+    # the blocks that a node's own block meets
+    to = F.explode(F.sequence(F.when(F.col("side") < 0, F.lit(0).cast("long")).otherwise(-F.col("pm")), F.col("po") - 1))
+    dealt = own.select("key", "node", "side", to.alias("to")).select("key", "node", "side", F.least("side", "to").alias("p"), F.greatest("side", "to").alias("q"))
+    met = _blocks(dealt.join(named, "node"), threshold, hubs)
+    return met.distinct() if hubs else met
+
+
+def links(docs: DataFrame, nodes: DataFrame, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """Verified pairs (a, b, similarity) that join all nodes which verified pairs can join."""
+    rows = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("key"))
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    texts = texts_of(docs, rows.join(several, "key", "left_semi").select("node").distinct(), text_col=text_col)
+    found = common.saved(verify(texts, candidates(nodes, threshold), threshold=threshold))
+    for hubs in (True, False):
+        pairs = rest(nodes, components(found), threshold, hubs)
+        if pairs is not None:
+            found = common.saved(found.unionByName(verify(texts, pairs, threshold=threshold)).distinct())
+    return found
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(node, text) of the nodes wanted, in the shared folder."""
     text = docs.select(common.text_or_empty(text_col).alias("text")).select(digest(F.col("text")).alias("node"), "text")
     # equal texts are one row from here on: the aggregation keeps one of a node's copies before it shuffles
-    texts = common.saved(text.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    return common.saved(text.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+
+
+VERIFY = "a binary, b binary, similarity double"
+
+
+def verify(texts: DataFrame, pairs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b, similarity) whose texts' exact J_P reaches the threshold; texts(node, text)."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,22 +400,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, node (its text's digest), class_id, class_node, n_links.
+    """One row per document: doc_id, node (its text's digest), class_id, class_node, n_verified.
 
     ``class_id`` is the least doc_id of the documents joined by links, equal
-    texts included; ``class_node`` its node; ``n_links`` the verified links of
-    the text to other texts. Null texts count as empty; all texts without a
+    texts included; ``class_node`` its node; ``n_verified`` the text's links to
+    other texts that were verified, which leaves out links between texts that
+    others had joined. Null texts count as empty; all texts without a
     word are near only to equal texts. Rows with equal ids are kept each; a
     null id is greater than all others. An empty table gives no rows.
     """
     own = common.saved(sketch(docs, id_col=id_col, text_col=text_col))
     nodes = common.saved(own.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("codes").alias("codes"), F.first("bands").alias("bands")))
-    links = common.saved(verify(docs, candidates(nodes, threshold), threshold=threshold, id_col=id_col, text_col=text_col))
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    joined = nodes.select("node", "rep").join(components(links), "node", "left").join(degree, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = links(docs, nodes, threshold=threshold, text_col=text_col)
+    degree = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
+    joined = nodes.select("node", "rep").join(components(found), "node", "left").join(degree, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
     least = joined.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("m")).select("root", F.col("m.rep").alias("class_id"), F.col("m.node").alias("class_node"))
-    named = joined.join(least, "root").select("node", "class_id", "class_node", "n_links")
-    return own.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "class_node", "n_links")
+    named = joined.join(least, "root").select("node", "class_id", "class_node", "n_verified")
+    return own.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "class_node", "n_verified")
 
 
 def dedup(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,4 +432,4 @@ def dedup(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_i
 
 
 def op6_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(common.read_docs(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+    return classes(common.read_docs(spark, sf_dir)).select("doc_id", "class_id", "n_verified")

@@ -90,6 +90,49 @@ def test_classes_against_brute_force(spark, monkeypatch):
     assert neardup.classes(empty_docs(spark)).count() == 0 and neardup.dedup(empty_docs(spark)).count() == 0
 
 
+def crowd_classes(texts):
+    """Least index of each text's class; all shingles of a text are distinct, so J_P is the plain Jaccard similarity."""
+    sets = [shingles(t) for t in texts]
+    assert all(max(s.values()) == 1 for s in sets)
+    place = {x: k for k, x in enumerate(sorted({x for s in sets for x in s}))}
+    m = np.zeros((len(texts), len(place)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [place[x] for x in s]] = 1
+    common, size = m @ m.T, m.sum(1)
+    near = common / (size[:, None] + size - common) >= 0.8 - 1e-9
+    root = np.arange(len(texts))
+    while True:
+        new = np.where(near, root, len(texts)).min(1)
+        if (new == root).all():
+            return root.tolist()
+        root = new
+
+
+def edited(rng, base, places, word):
+    own = list(base)
+    for at in places:
+        own[at] = word()
+    return own
+
+
+def classes_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return [r["class_id"] for r in sorted(neardup.classes(docs).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_star_of_several_parts_against_brute_force(spark, monkeypatch):
+    """Copies near one base only, in band groups of many parts."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(400)]
+    texts = [base] + [edited(rng, base, rng.sample(range(5, 395, 5), 7), word) for _ in range(900)]
+    texts = [" ".join(t) for t in texts]
+    want = crowd_classes(texts)
+    assert want.count(0) == len(texts)
+    monkeypatch.setattr(neardup, "GROUP", 32)
+    assert classes_of(spark, texts) == want
+
+
 def test_one_of_each_class_stays(spark):
     rows = [(i, t) for i, t in odd_rows() + copies() if i is not None]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
