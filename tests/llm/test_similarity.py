@@ -133,6 +133,19 @@ def test_star_of_several_parts_against_brute_force(spark, monkeypatch):
     assert classes_of(spark, texts) == want
 
 
+def test_pairs_in_a_dense_family_against_brute_force(spark):
+    """Texts of one template, nearer to each other than the estimate's slack, with a few pairs over the threshold."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(400)]
+    texts = [edited(rng, base, rng.sample(range(5, 395, 5), 6), word) for _ in range(300)]
+    texts += [edited(rng, texts[i], rng.sample(range(7, 395, 5), 8), word) for i in range(40)]
+    texts = [" ".join(t) for t in texts]
+    want = crowd_classes(texts)
+    assert 30 <= sum(x != i for i, x in enumerate(want)) <= 80
+    assert classes_of(spark, texts) == want
+
+
 def test_one_of_each_class_stays(spark):
     rows = [(i, t) for i, t in odd_rows() + copies() if i is not None]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
