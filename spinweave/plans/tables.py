@@ -47,8 +47,8 @@ def trade_graph(spark, d):
 WITH p AS (SELECT l_partkey AS p, l_suppkey AS s, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r, count(*) AS n FROM lineitem WHERE l_partkey % 10 = 0 GROUP BY 1, 2)
 SELECT a.s AS src, b.s AS dst, count(*) AS shared, CAST(CASE WHEN sum(a.r + b.r) * 3 > sum(a.n + b.n) THEN -1 ELSE 1 END AS INTEGER) AS sign FROM p a JOIN p b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2""")
 def part_graph(spark, d):
-    """Suppliers that share a part with a round key; negative where over a third of their lines came back."""
-    p = _t(spark, d, "lineitem").where("l_partkey % 10 = 0").groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).agg(F.sum((F.col("l_returnflag") == "R").cast("long")).alias("r"), F.count(F.lit(1)).alias("n"))
+    """Suppliers that share a part; negative where over a third of their lines came back."""
+    p = _t(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).agg(F.sum((F.col("l_returnflag") == "R").cast("long")).alias("r"), F.count(F.lit(1)).alias("n"))
     a, b = p.select("p", F.col("s").alias("src"), F.col("r").alias("ra"), F.col("n").alias("na")), p.select("p", F.col("s").alias("dst"), F.col("r").alias("rb"), F.col("n").alias("nb"))
     g = a.join(b, "p").where("src < dst").groupBy("src", "dst")
     return g.agg(F.count(F.lit(1)).alias("shared"), F.when(F.sum(F.col("ra") + F.col("rb")) * 3 > F.sum(F.col("na") + F.col("nb")), -1).otherwise(1).alias("sign"))

@@ -1,5 +1,6 @@
 """Operators beyond the registered queries: invariants, formats, streams."""
 
+import random
 import struct
 
 import numpy as np
@@ -13,6 +14,7 @@ from spinweave.operators import dynamics as D
 from spinweave.operators import graph as G
 from spinweave.operators import protein as PR
 from spinweave.operators import spectral as SP
+from spinweave.plans import tables
 from spinweave.sources import files
 from spinweave.sources import lattices as L
 from spinweave.streaming import events
@@ -223,3 +225,23 @@ def test_command_line(spark, tmp_path):
         cli.values("(0,1")
     run = ["ising", str(tmp_path / "t"), "--side", "4", "--p", "(0.1,0.2,2)", "--temperature", "1", "--sweeps", "2", "--replicas", "2"]
     assert cli.main(run) == 4 and cli.main(run) == 0
+
+
+def test_part_graph_takes_every_part(spark, tmp_path):
+    """Against brute force over lines of parts with round and other keys."""
+    rng = random.Random(8)
+    rows = [(rng.randint(1, 25), rng.randint(1, 8), rng.choice("RAN")) for _ in range(120)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {}
+    for p in {r[0] for r in rows}:
+        own = {}
+        for part, s, flag in rows:
+            if part == p:
+                own.setdefault(s, []).append(flag == "R")
+        for a in own:
+            for b in own:
+                if a < b:
+                    n, back, lines = want.get((a, b), (0, 0, 0))
+                    want[a, b] = (n + 1, back + sum(own[a]) + sum(own[b]), lines + len(own[a]) + len(own[b]))
+    got = {(r["src"], r["dst"]): (r["shared"], r["sign"]) for r in tables.part_graph(spark, str(tmp_path)).collect()}
+    assert got == {k: (n, -1 if back * 3 > lines else 1) for k, (n, back, lines) in want.items()}
