@@ -22,9 +22,6 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 from . import text as tx
 
-#: words of an unbounded region at most, so that automata stay finite-sized
-ANY = 40
-
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 _MARK = re.compile(r"<<(beginOptional|endOptional|var)(?:;([^<>]*))?>>", re.S)
 
@@ -49,7 +46,7 @@ def split_words(raw: bytes) -> list[bytes]:
 
 
 def parse(template: str) -> list:
-    """Nested items: a word, ("any", least, most), ("one", [words, ...]) or ("optional", items)."""
+    """Nested items: a word, ("any", least, most or None), ("one", [words, ...]) or ("optional", items)."""
     stack: list[list] = [[]]
     at = 0
     for m in _MARK.finditer(template):
@@ -68,7 +65,7 @@ def parse(template: str) -> list:
             if bounds := re.fullmatch(r"\.\{(\d+),(\d+)\}", rule):
                 stack[-1].append(("any", int(bounds[1]), int(bounds[2])))
             elif rule in (".+", ".*"):
-                stack[-1].append(("any", int(rule == ".+"), ANY))
+                stack[-1].append(("any", int(rule == ".+"), None))
             else:
                 stack[-1].append(("one", [split_words(x.encode()) for x in rule.split("|")]))
     if len(stack) > 1:
@@ -111,7 +108,14 @@ class Automaton:
                 self.free[self._build(x[1], inner)].append(new)
             elif x[0] == "any":
                 here = at
-                for k in range(x[2] + 1):
+                if x[2] is None:
+                    for _ in range(x[1] + 1):
+                        there = self._state()
+                        (self.free if here == at else self.any)[here].append(there)
+                        here = there
+                    self.any[here].append(here)
+                    self.free[here].append(new)
+                for k in range(0 if x[2] is None else x[2] + 1):
                     if k >= x[1]:
                         self.free[here].append(new)
                     if k < x[2]:

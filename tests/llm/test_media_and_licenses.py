@@ -128,6 +128,14 @@ def test_automata_accept_exactly_the_template_language():
             assert a.match_at(t, 0) == (max(ends) if ends else None)
 
 
+def test_unbounded_regions_take_any_number_of_words():
+    for rule, least in ((".+", 1), (".*", 0)):
+        a = licenses.Automaton(f'x y <<var;match="{rule}">> z')
+        for n in (0, 1, 2, 40, 41, 500):
+            t = [b"x", b"y", *[b"w"] * n, b"z"]
+            assert a.match_at(t, 0) == (len(t) if n >= least else None)
+
+
 def test_templates_label_and_bad_markup_raises(spark):
     rows = {r["doc_id"]: r for r in licenses.scan(odd_docs(spark)).where("doc_id >= 60").collect()}
     assert rows[60]["exact_labels"] == "mit-notice" and rows[60]["score"] == 1.0
