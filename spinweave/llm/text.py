@@ -17,8 +17,8 @@ U64 = np.uint64
 MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INV = pow(_BASE, -1, 1 << 64)
-#: bytes hashed at once; bounds the temporary arrays whatever a text's length
-BLOCK = 1 << 20
+#: bytes hashed at once, or one span; bounds the temporary arrays and the powers that a worker keeps
+BLOCK = 1 << 17
 
 _WORD = np.zeros(256, np.uint8)
 for _b in range(256):
@@ -31,14 +31,18 @@ _pows: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, up to n."""
-    if "p" not in _pows or len(_pows["p"]) < n + 1:
-        size = 1 << max(16, n.bit_length())
-        for name, base in (("p", _BASE), ("i", _INV)):
-            a = np.full(size, base & MASK, U64)
-            a[0] = 1
-            _pows[name] = np.cumprod(a, dtype=U64)
-    return _pows["p"], _pows["i"]
+    """Powers of the hash base and of its inverse modulo 2**64, up to n; kept up to 2 * BLOCK."""
+    if "p" in _pows and len(_pows["p"]) > n:
+        return _pows["p"], _pows["i"]
+    size = max(2 * BLOCK, n + 1)
+    got = []
+    for base in (_BASE, _INV):
+        a = np.full(size, base & MASK, U64)
+        a[0] = 1
+        got.append(np.cumprod(a, dtype=U64))
+    if size == 2 * BLOCK:
+        _pows["p"], _pows["i"] = got
+    return got[0], got[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,7 +88,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most max_bytes of text, or one row."""
     n = batch.num_rows
     if not n:

@@ -27,8 +27,9 @@ def odd_rows():
 
 def odd_docs(spark):
     """Columns beyond doc_id and text have names that operators might use themselves."""
-    rows = [(i, t, "en", f"src{(i or 0) % 4}", len(t or ""), 1, "x", b"y", 0.5, "z") for i, t in odd_rows()]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key long, node string, codes binary, line double, bucket string").repartition(3)
+    rows = [(i, t, "en", f"src{(i or 0) % 4}", len(t or ""), 1, "x", b"y", 0.5, "z", *range(9)) for i, t in odd_rows()]
+    names = "_own _k _node _id _f _n _dense _doc _hash".split()
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key long, node string, codes binary, line double, bucket string, " + ", ".join(f"{x} int" for x in names)).repartition(3)
 
 
 def empty_docs(spark):
