@@ -2,17 +2,21 @@
 
 Candidates are found with regular expressions in the JVM; a text's pieces
 between matches give the matches' places. Each candidate's hash is then
-counted by distinct repositories and owners over the whole corpus, aggregated
-by (hash, owner, repository) before it is counted so that a value that a third
-of all rows hold is summed where it lies. Verdicts:
-
-``copied``  held by ``copied_owners`` owners or more: a widely copied example;
-``live``    held by one owner and looking like a real credential;
+counted by distinct repositories and by distinct owners over the whole corpus,
+made distinct by (hash, owner, repository) before it is counted so that a value
+that a third of all rows hold is summed where it lies. A repository of two
+owners counts once. Verdicts:
+
+``copied``  held by ``copied_owners`` owners or ``copied_repositories``
+            repositories or more: a widely copied example;
+``live``    not copied, held by one owner and looking like a real credential;
 ``unclear`` the rest.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +33,44 @@ PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|xxxx|1234
 _SPANS = "array<struct<start:int,rank:int,kind:string,end:int,hash:string,likely:boolean>>"
 
 
+#: matches whose places are summed at once: a running sum copies what it has at each step
+RUN = 256
+
+
+def _running(sizes: Column) -> Column:
+    """Sums of the elements before each element, and after the last (long)."""
+    start = F.array(F.lit(0).cast("long"))
+    return F.aggregate(sizes, start, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), value being computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _matches(text: Column, rank: int, pattern: str) -> Column:
     """Leftmost non-overlapping matches of a pattern with their places in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    at = F.aggregate(
-        F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("gap"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int>>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + x["gap"]).alias("start")))).alias("out")),
-        lambda acc: acc["out"],
-    )
+
+    def sized(found: Column) -> Column:
+        """Matches with what they add to the end of the match before."""
+        return F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(m.alias("m"), (F.length(b) + F.length(m)).cast("long").alias("size")))
+
+    def runs(pairs: Column) -> Column:
+        """The matches in runs, with their ends counted from the run's start."""
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")), lambda k: F.slice(pairs, k * RUN + 1, F.lit(RUN)))
+        return F.transform(cut, lambda r: F.struct(r.alias("run"), F.slice(_running(F.transform(r, lambda x: x["size"])), F.lit(2), F.size(r)).alias("ends")))
+
+    def placed(summed: Column) -> Column:
+        before = _running(F.transform(summed, lambda x: F.element_at(x["ends"], -1)))
+        return F.zip_with(
+            summed,
+            F.slice(before, F.lit(1), F.size(summed)),
+            lambda x, at: F.zip_with(x["run"], x["ends"], lambda p, end: F.struct(p["m"].alias("m"), (at + end - F.length(p["m"])).alias("start"))),
+        )
+
+    at = F.flatten(_let(_let(_let(found, sized), runs), placed))
 
     def row(x: Column) -> Column:
         value = F.regexp_extract(x["m"], pattern, 2) if rank == 0 else x["m"]
@@ -55,7 +87,16 @@ def _names(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None, copied_owners: int = 3) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    owner: Column | None = None,
+    repository: Column | None = None,
+    copied_owners: int = 3,
+    copied_repositories: int = 8,
+) -> DataFrame:
     """One row per document: counts of the base kinds, digest of their spans, all spans, verdicts' counts.
 
     owner defaults to ``source`` and repository to ``source`` and ``lang``.
@@ -70,10 +111,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     # Rows without their texts, written once: both passes over the candidates read them.
     base = common.saved(base.select("doc_id", "owner", "repository", F.xxhash64("t").alias("text_hash"), spans.alias("spans")))
     each = base.where(F.size("spans") > 0).select("doc_id", "text_hash", "owner", "repository", F.explode("spans").alias("s"))
-    pairs = each.groupBy(F.col("s.hash").alias("hash"), "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
-    owners = pairs.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    frequency = owners.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"))
-    verdict = F.when(F.col("n_owners") >= copied_owners, "copied").when((F.col("n_owners") == 1) & F.col("s.likely"), "live").otherwise("unclear")
+    pairs = each.select(F.col("s.hash").alias("hash"), "owner", "repository").distinct()
+    count_of = lambda c: pairs.select("hash", c).distinct().groupBy("hash").agg(F.count(F.lit(1)).alias(f"n_{c}"))
+    frequency = count_of("owner").join(count_of("repository"), "hash").select("hash", F.col("n_owner").alias("n_owners"), F.col("n_repository").alias("n_repositories"))
+    copied = (F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories)
+    verdict = F.when(copied, "copied").when((F.col("n_owners") == 1) & F.col("s.likely"), "live").otherwise("unclear")
     judged = each.select("doc_id", "text_hash", "s", F.col("s.hash").alias("hash")).join(frequency, "hash").select("doc_id", "text_hash", F.struct(F.col("s.start").alias("start"), (F.col("s.rank") + len(KINDS)).alias("rank"), verdict.alias("kind"), F.col("s.end").alias("end"), F.col("n_owners"), F.col("n_repositories")).alias("v"))
     per_doc = judged.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("v")).alias("verdicts")).withColumnRenamed("doc_id", "id2").withColumnRenamed("text_hash", "hash2")
     joined = base.join(per_doc, base["doc_id"].eqNullSafe(per_doc["id2"]) & (base["text_hash"] == per_doc["hash2"]), "left")
