@@ -33,6 +33,8 @@ from . import text as tx
 U64 = np.uint64
 THRESHOLD = 0.8
 STEPS, SAMPLES, REPEATS = 12, 4, 8
+#: items of fewer words are looked for from every word: they have too few places to choose from
+DENSE_WORDS = 30
 #: share of the words that an item's walk visits that must agree before a place is verified
 AGREE = 0.6
 #: bytes of benchmark text in a block
@@ -207,7 +209,7 @@ class Index:
 
 
 def indexes(ids: list, texts: list[str], threshold: float = THRESHOLD) -> list[Index]:
-    """Items with at least three places are found by those, shorter and odd ones from every word.
+    """Items of DENSE_WORDS with at least three places are found by those, shorter and odd ones from every word.
 
     Walks are no longer than the shortest item that they serve, by classes of
     lengths. Items without a word are left out: nothing contains them.
@@ -217,8 +219,9 @@ def indexes(ids: list, texts: list[str], threshold: float = THRESHOLD) -> list[I
         h = word_hashes(t)
         if not len(h):
             continue
-        every = len(anchors(h)) < 3 or len(h) < STEPS
-        steps = STEPS if len(h) >= STEPS else 6 if len(h) >= 6 else len(h)
+        every = len(h) < DENSE_WORDS or len(anchors(h)) < 3
+        # short items' walks leave room for several places before the item ends
+        steps = STEPS if len(h) >= 20 else 8 if len(h) >= STEPS else min(6, len(h))
         g = groups.setdefault((every, steps), ([], []))
         g[0].append(i)
         g[1].append(h)
