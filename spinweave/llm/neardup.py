@@ -12,15 +12,21 @@ register with the probability of their probability Jaccard similarity
 which is the plain Jaccard similarity if all weights are equal.
 
 Equal texts are first made one node. Nodes that share a band's registers meet,
-and every candidate is verified exactly. First come the candidates that are
-likely to join much: the pairs of a maximum spanning tree of each band's group
-by estimated similarity (and the best two of each node where an estimate is
-near the threshold), in groups over ``GROUP`` nodes part by part and then among
-one node (the most central) of every part found connected. Then ``rest`` takes
-all other pairs of a group, of whatever parts, that no verified links join and
-whose estimate reaches ``threshold - SLACK``; large groups are dealt out by
-pairs of blocks. With 20 bands of 5 registers a pair at 0.8 meets with
-probability 0.9997.
+and every link is verified exactly. Three steps find what joins:
+
+1. the pairs of a maximum spanning tree of each band's group by estimated
+   similarity (and the best two of each node where an estimate is near the
+   threshold), in groups over ``GROUP`` nodes part by part and then among one
+   node (the most central) of every part found connected;
+2. in those large groups, each node that is still apart and the group's most
+   central node;
+3. all other pairs of a group that no verified link joins and whose estimate
+   reaches ``threshold - SLACK``, by pairs of blocks. A block's task gets each
+   text once, not once a pair: a matrix product of shingle weights bounds J_P
+   from above (it is J_P where all weights are equal), and pairs whose bound
+   reaches the threshold are verified as long as they would join two parts.
+
+With 20 bands of 5 registers a pair at 0.8 meets with probability 0.9997.
 """
 
 from __future__ import annotations
@@ -40,8 +46,12 @@ U64 = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 REGISTERS = BANDS * ROWS
-#: nodes of one band's group that one task compares at once
+#: nodes of one band's group that one task compares at once by their codes
 GROUP = 512
+#: bytes of text in a block whose pairs one task verifies
+BLOCK_BYTES = 2 << 20
+#: entries of a matrix of shingle weights
+MATRIX = 1 << 22
 #: estimates this far below the threshold are still verified (about four standard errors)
 SLACK = 0.16
 
@@ -108,11 +118,11 @@ def digest(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
-SKETCH = "doc_id long, node binary, codes binary, bands array<long>"
+SKETCH = "doc_id long, node binary, codes binary, bands array<long>, size long"
 
 
 def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node, a byte of each register, band keys (null for texts without a word)."""
+    """doc_id, node, a byte of each register, band keys (null for texts without a word), bytes of text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,9 +136,11 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
                 codes = (sig >> U64(56)).astype(np.uint8)
                 raw = data.tobytes()
                 nodes = [hashlib.sha256(raw[offs[i] : offs[i + 1]]).digest()[:16] for i in range(n)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)), pa.array(key[some].ravel()))
-                lists = pa.array([x if s else None for x, s in zip(lists.to_pylist(), some, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array([codes[i].tobytes() if some[i] else None for i in range(n)], pa.binary()), lists], ["doc_id", "node", "codes", "bands"])
+                ends = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[some].ravel()), mask=pa.array(~some))
+                held = pa.array([codes[i].tobytes() if some[i] else None for i in range(n)], pa.binary())
+                columns = [part.column(0), pa.array(nodes, pa.binary()), held, lists, pa.array(np.diff(offs))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "codes", "bands", "size"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(work, SKETCH)
 
@@ -173,14 +185,16 @@ def _tree(codes: np.ndarray, least: float, sure: float) -> tuple[list[tuple[int,
     for x in range(n):
         parts.setdefault(find(x), []).append(x)
     central = est.sum(1)
-    return list(known), [max(members, key=lambda x: (central[x], -x)) for members in parts.values()]
+    largest_first = sorted(parts.values(), key=len, reverse=True)
+    return list(known), [max(members, key=lambda x: (central[x], -x)) for members in largest_first]
 
 
 MEET = "key long, a binary, b binary"
 
 
 def _meet(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows(key, salt, node, codes): candidate pairs (a, b), and heads (key, a, null) of groups that go on."""
+    """rows(key, salt, node, codes, level): candidate pairs (null, a, b); heads (key, a, null) of groups that go on
+    (level 1), one hub (key, a, a) of those that went on and end (level 2)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -189,15 +203,19 @@ def _meet(rows: DataFrame, threshold: float) -> DataFrame:
         def flush() -> None:
             for at in range(0, len(held), GROUP):
                 part = held[at : at + GROUP]
-                if len(part) == 2 and not part[0][3]:
+                if len(part) == 2 and part[0][3] != 1:
                     x, y = (np.frombuffer(p[2], np.uint8) for p in part)
                     if (x == y).mean() >= threshold - SLACK:
                         out.append((None, part[0][1], part[1][1]))
+                    if part[0][3]:
+                        out.append((part[0][0], part[0][1], part[0][1]))
                     continue
                 pairs, heads = _tree(np.array([np.frombuffer(p[2], np.uint8) for p in part]), threshold - SLACK, threshold + SLACK)
                 out.extend((None, min(part[x][1], part[y][1]), max(part[x][1], part[y][1])) for x, y in pairs)
-                if part[0][3]:
+                if part[0][3] == 1:
                     out.extend((part[x][0], part[x][1], None) for x in heads)
+                elif part[0][3] == 2:
+                    out.append((part[heads[0]][0], part[heads[0]][1], part[heads[0]][1]))
             held.clear()
 
         def batch() -> pa.RecordBatch:
@@ -207,11 +225,11 @@ def _meet(rows: DataFrame, threshold: float) -> DataFrame:
 
         for b in batches:
             cols = [b.column(k).to_pylist() for k in range(5)]
-            for key, salt, node, codes, more in zip(*cols, strict=True):
+            for key, salt, node, codes, level in zip(*cols, strict=True):
                 if (key, salt) != now or len(held) >= 8 * GROUP:
                     flush()
                     now = (key, salt)
-                held.append((key, node, codes, more))
+                held.append((key, node, codes, level))
             if len(out) > 10000:
                 yield batch()
         flush()
@@ -219,130 +237,214 @@ def _meet(rows: DataFrame, threshold: float) -> DataFrame:
             yield batch()
 
     # one row per pair of a group of two comes in the order of nodes, so a < b
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").select("key", "salt", "node", "codes", "more").mapInArrow(work, MEET)
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").select("key", "salt", "node", "codes", "level").mapInArrow(work, MEET)
 
 
-def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """nodes(node, codes, bands) -> distinct candidate pairs (a, b), a < b."""
+def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """nodes(node, codes, bands) -> distinct candidate pairs (a, b), a < b, and (key, hub) of groups over GROUP nodes."""
     rows = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    found = None
-    before = None
+    found = hubs = before = None
     while True:
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.where(F.col("n") > 1) if before is None else sizes
         multi = rows.join(sizes, "key").join(nodes.select("node", "codes"), "node")
-        parts = F.ceil(F.col("n") / GROUP)
-        salted = multi.select("key", "node", "codes", F.when(F.col("n") > GROUP, F.pmod(F.xxhash64("node", "key"), parts)).otherwise(0).cast("long").alias("salt"), (F.col("n") > GROUP).alias("more"))
-        met = common.saved(_meet(salted, threshold))
-        pairs = met.where(F.col("b").isNotNull()).select("a", "b")
+        salt = F.when(F.col("n") > GROUP, F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / GROUP))).otherwise(0)
+        level = F.when(F.col("n") > GROUP, 1).otherwise(0 if before is None else 2)
+        met = common.saved(_meet(multi.select("key", "node", "codes", salt.cast("long").alias("salt"), level.alias("level")), threshold))
+        pairs = met.where(F.col("key").isNull()).select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
+        ended = met.where(F.col("a") == F.col("b")).select("key", F.col("a").alias("hub"))
+        hubs = ended if hubs is None else hubs.unionByName(ended)
         rows = met.where(F.col("b").isNull()).select(F.col("a").alias("node"), "key")
         left = rows.count()
-        # goes on only while groups shrink: rest() compares what is left
+        # goes on only while groups shrink: later steps compare what is left
         if left == 0 or (before is not None and left > 0.95 * before):
             break
         before = left
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return found.distinct()
+    return found.distinct(), hubs.unionByName(rows.groupBy("key").agg(F.min("node").alias("hub")))
 
 
-def _apart(key: int, nodes: list[bytes], codes: np.ndarray, bands: np.ndarray, roots: list[bytes], left: np.ndarray, right: np.ndarray, least: float, hubs: bool) -> list[tuple[bytes, bytes]]:
-    """Pairs of a left and a right member of a group that have different roots, an estimate of least or more and no earlier band in common.
-
-    ``hubs``: only each member's pairs with the most central ones of either side.
-    """
+def _involved(key: int, codes: np.ndarray, bands: np.ndarray, roots: list[bytes], left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Members with a partner on the other side that has another root, an estimate of least or more and no earlier band in common."""
     _, root = np.unique(np.array(roots, object), return_inverse=True)
-    other = codes[right]
-    est = np.stack([(codes[x] == other).sum(1) for x in left]) / codes.shape[1]
-    ok = ((est - 1 / 256) * (256 / 255) >= least) & (root[left][:, None] != root[right])
-    if left is right:
-        ok = np.triu(ok, 1)
-    if hubs:
-        keep = np.zeros_like(ok)
-        keep[est.sum(1).argmax()] = True
-        keep[:, est.sum(0).argmax()] = True
-        ok &= keep
-    i, j = np.nonzero(ok)
-    i, j = left[i], right[j]
-    out = []
-    for at in range(0, len(i), 1 << 16):
-        x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-        first = (bands[x] == bands[y]).argmax(1)
-        here = np.ones(len(x), bool) if hubs else bands[x, first] == key
-        out += [(min(nodes[u], nodes[v]), max(nodes[u], nodes[v])) for u, v in zip(x[here].tolist(), y[here].tolist(), strict=True)]
+    need = least * 255 / 256 + 1 / 256
+    out = np.zeros(len(roots), bool)
+    for x in left:
+        y = right[right > x] if left is right else right
+        y = y[root[y] != root[x]]
+        y = y[(codes[x] == codes[y]).sum(1) >= need * codes.shape[1]]
+        if len(y):
+            first = (bands[x] == bands[y]).argmax(1)
+            y = y[bands[x, first] == key]
+            out[y] = True
+            out[x] |= len(y) > 0
     return out
 
 
-PAIRS = "a binary, b binary"
+MET = "key long, p long, q long, side long, node binary, root binary"
 
 
-def _blocks(rows: DataFrame, threshold: float, hubs: bool) -> DataFrame:
-    """rows(key, p, q, side, node, root, codes, bands): pairs (a, b) of each block pair's sides, of its one side if p = q."""
+def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows(key, p, q, side, node, root, codes, bands): those that a partner in their block pair makes candidates."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2:
-                return
+        for now, held in tx.runs(batches, 3):
             side, nodes, roots, codes, bands = zip(*held, strict=True)
             side = np.array(side)
             left, right = np.flatnonzero(side == now[1]), np.flatnonzero(side == now[2])
-            if not len(left) or not len(right):
-                return
+            if len(held) < 2 or not len(left) or not len(right):
+                continue
             codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(nodes), -1)
-            got = _apart(now[0], nodes, codes, np.array(bands, np.int64), roots, left, left if now[1] == now[2] else right, threshold - SLACK, hubs)
-            for at in range(0, len(got), 10000):
-                a, b = zip(*got[at : at + 10000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            some = np.flatnonzero(_involved(now[0], codes, np.array(bands, np.int64), roots, left, left if now[1] == now[2] else right, threshold - SLACK))
+            if len(some):
+                columns = [pa.array([x] * len(some), pa.int64()) for x in now]
+                columns += [pa.array(side[some]), pa.array([nodes[i] for i in some], pa.binary()), pa.array([roots[i] for i in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in MET.split(", ")])
 
-        for b in batches:
-            for key, p, q, *row in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
-                if (key, p, q) != now:
-                    yield from flush()
-                    held.clear()
-                    now = (key, p, q)
-                held.append(tuple(row))
-        yield from flush()
+    dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
+    return dealt.select("key", "p", "q", "side", "node", "root", "codes", "bands").mapInArrow(work, MET)
+
+
+def bounds(elem: np.ndarray, member: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """(n, n) upper bounds of J_P; equal to it where all of two members' weights are equal.
+
+    With c the share of a member's weight on common shingles and d that of the
+    other's, J_P <= 1 / (1/c + 1/d - 1), since each term of J_P is at most a
+    concave function, homogeneous of degree 1, of the two weights.
+    """
+    _, place, count = np.unique(elem, return_inverse=True, return_counts=True)
+    total = np.bincount(member, weights=weight, minlength=n)
+    several = np.flatnonzero(count > 1)
+    column = np.full(len(count), -1)
+    column[several] = np.arange(len(several))
+    at = column[place]
+    order = np.argsort(at, kind="stable")
+    order = order[at[order] >= 0]
+    at, member, share = at[order], member[order], (weight / np.maximum(total, 1e-300)[member])[order]
+    held = np.zeros((n, n), np.float32)
+    step = max(1, MATRIX // n)
+    for first in range(0, len(several), step):
+        a, b = np.searchsorted(at, (first, first + step))
+        here = np.zeros((n, min(step, len(several) - first)), np.float32)
+        here[member[a:b], at[a:b] - first] = share[a:b]
+        held += here @ (here > 0).astype(np.float32).T
+    with np.errstate(divide="ignore"):
+        np.divide(1, held, out=held)
+        held = held + held.T
+        held -= 1
+        return np.divide(1, held, out=held)
+
+
+def joining(sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, sides: tuple[int, int], roots: list[bytes], threshold: float) -> list[tuple[int, int, float]]:
+    """Verified links (i, j, similarity) of members on different sides that join all parts which such links can join."""
+    n = len(sets)
+    member = np.repeat(np.arange(n), [len(e) for e, _ in sets])
+    bound = bounds(np.concatenate([e for e, _ in sets]), member, np.concatenate([w for _, w in sets]), n)
+    ok = np.triu(bound >= threshold - 1e-4, 1)
+    if sides[0] != sides[1]:
+        ok &= side[:, None] != side
+    i, j = np.nonzero(ok)
+    order = np.argsort(-bound[i, j], kind="stable")
+    names: dict[bytes, int] = {}
+    part = [names.setdefault(r, len(names)) for r in roots]
+    up = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
 
-    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node").select("key", "p", "q", "side", "node", "root", "codes", "bands").mapInArrow(work, PAIRS)
+    out = []
+    for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        a, b = find(part[x]), find(part[y])
+        if a != b and (s := similarity(*sets[x], *sets[y])) >= threshold - 1e-9:
+            up[b] = a
+            out.append((x, y, s))
+    return out
 
 
-def rest(nodes: DataFrame, roots: DataFrame, threshold: float, hubs: bool) -> DataFrame | None:
-    """nodes(node, codes, bands), roots(node, root) -> pairs (a, b) of a band's groups that have different roots.
+def rest(nodes: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """nodes(node, codes, bands, size), roots(node, root), texts(node, text) -> links (a, b, similarity) between parts.
 
-    ``hubs``: only pairs with the most central nodes of each block, or None if
-    no group takes several blocks. Of a group, nodes of its most frequent root
-    (blocks below 0) meet only the others (blocks from 0), and the others also
-    each other.
+    None if no band's group holds several roots. Of a group, nodes of its most
+    frequent root (blocks below 0) meet only the others (blocks from 0), and the
+    others also each other.
     """
-    named = nodes.where(F.col("bands").isNotNull()).select("node", "codes", "bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = named.select("node", "root", F.explode("bands").alias("key"))
-    kinds = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    groups = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where(F.col("n") > F.col("main.n"))
-    groups = common.saved(groups.select("key", F.col("main.root").alias("main"), F.ceil(F.col("main.n") / GROUP).alias("pm"), F.ceil((F.col("n") - F.col("main.n")) / GROUP).alias("po")))
-    if hubs and not groups.where("pm + po > 2").head(1):
+    named = nodes.where(F.col("bands").isNotNull()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = named.select("node", "root", "size", F.explode("bands").alias("key"))
+    kinds = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    groups = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("main"))
+    groups = groups.where(F.col("n") > F.col("main.n"))
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.ceil(F.greatest(n / (2 * GROUP), size / BLOCK_BYTES))
+
+    pm = blocks(F.col("main.n"), F.col("main.bytes"))
+    po = blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes"))
+    groups = common.saved(groups.select("key", F.col("main.root").alias("main"), pm.alias("pm"), po.alias("po")))
+    if not groups.head(1):
         return None
     salt = F.xxhash64("node", "key")
-    own = rows.join(groups, "key").withColumn("side", F.when(F.col("root") == F.col("main"), -1 - F.pmod(salt, "pm")).otherwise(F.pmod(salt, "po")))
+    side = F.when(F.col("root") == F.col("main"), -1 - F.pmod(salt, "pm")).otherwise(F.pmod(salt, "po"))
+    own = rows.join(groups, "key").withColumn("side", side)
     # the blocks that a node's own block meets
     to = F.explode(F.sequence(F.when(F.col("side") < 0, F.lit(0).cast("long")).otherwise(-F.col("pm")), F.col("po") - 1))
     dealt = own.select("key", "node", "side", to.alias("to")).select("key", "node", "side", F.least("side", "to").alias("p"), F.greatest("side", "to").alias("q"))
-    met = _blocks(dealt.join(named, "node"), threshold, hubs)
-    return met.distinct() if hubs else met
+    met = common.saved(_blocks(dealt.join(named.select("node", "root", "codes", "bands"), "node"), threshold))
 
-
-def links(docs: DataFrame, nodes: DataFrame, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """Verified pairs (a, b, similarity) that join all nodes which verified pairs can join."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, held in tx.runs(batches, 3):
+            side, nodes, roots, text = zip(*held, strict=True)
+            e, d, w = weighted(*tx.buffers(pa.array(text, pa.large_string())))
+            at = np.searchsorted(d, np.arange(len(text) + 1))
+            sets = [(e[x:y], w[x:y]) for x, y in zip(at, at[1:], strict=False)]
+            got = joining(sets, np.array(side), now[1:], roots, threshold)
+            if got:
+                i, j, s = zip(*got, strict=True)
+                a = [min(nodes[x], nodes[y]) for x, y in zip(i, j, strict=True)]
+                b = [max(nodes[x], nodes[y]) for x, y in zip(i, j, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(s)], ["a", "b", "similarity"])
+
+    dealt = met.join(texts, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node")
+    return dealt.select("key", "p", "q", "side", "node", "root", "text").mapInArrow(work, VERIFY)
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots(node, root) after more links (a, b): only the parts that links join are gone through again."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    known = roots.unionByName(ends.join(roots, "node", "left_anti").withColumn("root", F.col("node")))
+    edges = links.join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    over = components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return common.saved(known.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
+def links(docs: DataFrame, nodes: DataFrame, *, threshold: float = THRESHOLD, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, similarity) that join all nodes which links can join, and (node, root) of linked nodes."""
     rows = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("key"))
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     texts = texts_of(docs, rows.join(several, "key", "left_semi").select("node").distinct(), text_col=text_col)
-    found = common.saved(verify(texts, candidates(nodes, threshold), threshold=threshold))
-    for hubs in (True, False):
-        pairs = rest(nodes, components(found), threshold, hubs)
-        if pairs is not None:
-            found = common.saved(found.unionByName(verify(texts, pairs, threshold=threshold)).distinct())
-    return found
+    pairs, hubs = candidates(nodes, threshold)
+    found = common.saved(verify(texts, pairs, threshold=threshold))
+    roots = common.saved(components(found))
+
+    def add(more: DataFrame) -> None:
+        nonlocal found, roots
+        more = common.saved(more)
+        if more.head(1):
+            roots = joined(roots, more)
+            found = common.saved(found.unionByName(more).distinct())
+
+    hubs = common.saved(hubs)
+    if hubs.head(1):
+        named = rows.join(hubs, "key").select("node", "hub").distinct().join(roots, "node", "left")
+        tops = roots.select(F.col("node").alias("hub"), F.col("root").alias("top"))
+        apart = named.join(tops, "hub", "left").where(F.coalesce("root", "node") != F.coalesce("top", "hub"))
+        add(verify(texts, apart.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), threshold=threshold))
+    left = rest(nodes, roots, texts, threshold)
+    if left is not None:
+        add(left)
+    return found, roots
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -409,26 +511,43 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc
     word are near only to equal texts. Rows with equal ids are kept each; a
     null id is greater than all others. An empty table gives no rows.
     """
-    own = common.saved(sketch(docs, id_col=id_col, text_col=text_col))
-    nodes = common.saved(own.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("codes").alias("codes"), F.first("bands").alias("bands")))
-    found = links(docs, nodes, threshold=threshold, text_col=text_col)
-    degree = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
-    joined = nodes.select("node", "rep").join(components(found), "node", "left").join(degree, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
-    least = joined.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("m")).select("root", F.col("m.rep").alias("class_id"), F.col("m.node").alias("class_node"))
-    named = joined.join(least, "root").select("node", "class_id", "class_node", "n_verified")
+    own, named, _ = _classes(docs, threshold, id_col, text_col)
     return own.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", "class_node", "n_verified")
 
 
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketch of each document, the class of each node, and (class_id, class_node) of each class."""
+    own = common.saved(sketch(docs, id_col=id_col, text_col=text_col))
+    firsts = [F.first(c).alias(c) for c in ("codes", "bands", "size")]
+    nodes = common.saved(own.groupBy("node").agg(F.min("doc_id").alias("rep"), *firsts))
+    found, roots = links(docs, nodes, threshold=threshold, text_col=text_col)
+    ends = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node")))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
+    linked = roots.join(degree, "node", "left")
+    all_nodes = nodes.select("node", "rep").join(linked, "node", "left")
+    all_nodes = all_nodes.select("node", "rep", F.coalesce("root", "node").alias("root"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+    least = all_nodes.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "node")).alias("m"))
+    least = least.select("root", F.col("m.rep").alias("class_id"), F.col("m.node").alias("class_node"))
+    return own, all_nodes.join(least, "root").select("node", "class_id", "class_node", "n_verified"), least
+
+
 def dedup(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one document of each class: the one with the least id (of repeated rows, one)."""
+    """docs without all but one document of each class: the one with the least id (of repeated rows, one).
+
+    All columns stay as they were, whatever their names.
+    """
     from pyspark.sql import Window
 
-    found = classes(docs, threshold=threshold, id_col=id_col, text_col=text_col)
-    keep = found.where((F.col("node") == F.col("class_node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("node").alias("_node"), F.col("class_id").alias("_id")).distinct()
-    node = digest(common.text_or_empty(text_col))
-    joined = docs.withColumn("_own", node).join(keep, (F.col("_own") == F.col("_node")) & docs[id_col].cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_own", id_col).orderBy(F.lit(0)))
-    return joined.withColumn("_k", first).where(F.col("_k") == 1).select(*docs.columns)
+    _, _, least = _classes(docs, threshold, id_col, text_col)
+
+    def name(node: Column, doc_id: Column) -> Column:
+        return F.concat(node, F.coalesce(doc_id.cast("string"), F.lit("none")).cast("binary")).alias("name")
+
+    keep = least.select(name(F.col("class_node"), F.col("class_id")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), name(digest(common.text_or_empty(text_col)), docs[id_col].cast("long")))
+    kept = rows.join(keep, "name", "left_semi")
+    first = F.row_number().over(Window.partitionBy("name").orderBy(F.lit(0)))
+    return kept.withColumn("place", first).where(F.col("place") == 1).select("row.*")
 
 
 def op6_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,3 +144,17 @@ def shingles(h: np.ndarray, at: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.
 def lowered(data: np.ndarray) -> np.ndarray:
     """Bytes with A-Z lower-cased and separators as 0."""
     return _WORD[data]
+
+
+def runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(first k values, list of the others) of each run of rows with equal first k values."""
+    now, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:k] != now:
+                if held:
+                    yield now, held
+                now, held = row[:k], []
+            held.append(row[k:])
+    if held:
+        yield now, held
