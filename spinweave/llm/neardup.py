@@ -240,14 +240,19 @@ def _meet(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").select("key", "salt", "node", "codes", "level").mapInArrow(work, MEET)
 
 
-def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """nodes(node, codes, bands) -> distinct candidate pairs (a, b), a < b, and (key, hub) of groups over GROUP nodes."""
-    rows = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("key"))
+def groups_of(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, n): members of the bands' groups of two nodes or more; what comes after reads these alone."""
+    rows = nodes.where(F.col("bands").isNotNull()).select("node", "size", F.explode("bands").alias("key"))
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    return common.saved(rows.join(several, "key").select("key", "node", "size", "n"))
+
+
+def candidates(nodes: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """nodes(node, codes) and their groups -> distinct candidate pairs (a, b), a < b, and (key, hub) of groups over GROUP nodes."""
+    rows = groups.select("key", "node", "n")
     found = hubs = before = None
     while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        sizes = sizes.where(F.col("n") > 1) if before is None else sizes
-        multi = rows.join(sizes, "key").join(nodes.select("node", "codes"), "node")
+        multi = rows.join(nodes.select("node", "codes"), "node")
         salt = F.when(F.col("n") > GROUP, F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / GROUP))).otherwise(0)
         level = F.when(F.col("n") > GROUP, 1).otherwise(0 if before is None else 2)
         met = common.saved(_meet(multi.select("key", "node", "codes", salt.cast("long").alias("salt"), level.alias("level")), threshold))
@@ -255,13 +260,14 @@ def candidates(nodes: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
         found = pairs if found is None else found.unionByName(pairs)
         ended = met.where(F.col("a") == F.col("b")).select("key", F.col("a").alias("hub"))
         hubs = ended if hubs is None else hubs.unionByName(ended)
-        rows = met.where(F.col("b").isNull()).select(F.col("a").alias("node"), "key")
-        left = rows.count()
+        heads = met.where(F.col("b").isNull()).select(F.col("a").alias("node"), "key")
+        left = heads.count()
         # goes on only while groups shrink: later steps compare what is left
         if left == 0 or (before is not None and left > 0.95 * before):
             break
         before = left
-    return found.distinct(), hubs.unionByName(rows.groupBy("key").agg(F.min("node").alias("hub")))
+        rows = heads.join(heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    return found.distinct(), hubs.unionByName(heads.groupBy("key").agg(F.min("node").alias("hub")))
 
 
 def _involved(key: int, codes: np.ndarray, bands: np.ndarray, roots: list[bytes], left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
@@ -364,15 +370,14 @@ def joining(sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray, sides:
     return out
 
 
-def rest(nodes: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
-    """nodes(node, codes, bands, size), roots(node, root), texts(node, text) -> links (a, b, similarity) between parts.
+def rest(nodes: DataFrame, groups: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+    """nodes(node, codes, bands), their groups, roots(node, root), texts(node, text) -> links (a, b, similarity) between parts.
 
-    None if no band's group holds several roots. Of a group, nodes of its most
+    None if no group holds several roots. Of a group, nodes of its most
     frequent root (blocks below 0) meet only the others (blocks from 0), and the
     others also each other.
     """
-    named = nodes.where(F.col("bands").isNotNull()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = named.select("node", "root", "size", F.explode("bands").alias("key"))
+    rows = groups.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kinds = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     groups = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("main"))
     groups = groups.where(F.col("n") > F.col("main.n"))
@@ -390,8 +395,9 @@ def rest(nodes: DataFrame, roots: DataFrame, texts: DataFrame, threshold: float)
     own = rows.join(groups, "key").withColumn("side", side)
     # the blocks that a node's own block meets
     to = F.explode(F.sequence(F.when(F.col("side") < 0, F.lit(0).cast("long")).otherwise(-F.col("pm")), F.col("po") - 1))
-    dealt = own.select("key", "node", "side", to.alias("to")).select("key", "node", "side", F.least("side", "to").alias("p"), F.greatest("side", "to").alias("q"))
-    met = common.saved(_blocks(dealt.join(named.select("node", "root", "codes", "bands"), "node"), threshold))
+    dealt = own.select("key", "node", "root", "side", to.alias("to"))
+    dealt = dealt.select("key", "node", "root", "side", F.least("side", "to").alias("p"), F.greatest("side", "to").alias("q"))
+    met = common.saved(_blocks(dealt.join(nodes.select("node", "codes", "bands"), "node"), threshold))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now, held in tx.runs(batches, 3):
@@ -421,10 +427,9 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, *, threshold: float = THRESHOLD, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, similarity) that join all nodes which links can join, and (node, root) of linked nodes."""
-    rows = nodes.where(F.col("bands").isNotNull()).select("node", F.explode("bands").alias("key"))
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    texts = texts_of(docs, rows.join(several, "key", "left_semi").select("node").distinct(), text_col=text_col)
-    pairs, hubs = candidates(nodes, threshold)
+    groups = groups_of(nodes)
+    texts = texts_of(docs, groups.select("node").distinct(), text_col=text_col)
+    pairs, hubs = candidates(nodes, groups, threshold)
     found = common.saved(verify(texts, pairs, threshold=threshold))
     roots = common.saved(components(found))
 
@@ -437,11 +442,11 @@ def links(docs: DataFrame, nodes: DataFrame, *, threshold: float = THRESHOLD, te
 
     hubs = common.saved(hubs)
     if hubs.head(1):
-        named = rows.join(hubs, "key").select("node", "hub").distinct().join(roots, "node", "left")
+        named = groups.join(hubs, "key").select("node", "hub").distinct().join(roots, "node", "left")
         tops = roots.select(F.col("node").alias("hub"), F.col("root").alias("top"))
         apart = named.join(tops, "hub", "left").where(F.coalesce("root", "node") != F.coalesce("top", "hub"))
         add(verify(texts, apart.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), threshold=threshold))
-    left = rest(nodes, roots, texts, threshold)
+    left = rest(nodes, groups, roots, texts, threshold)
     if left is not None:
         add(left)
     return found, roots
@@ -551,4 +556,5 @@ def dedup(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_i
 
 
 def op6_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document."""
     return classes(common.read_docs(spark, sf_dir)).select("doc_id", "class_id", "n_verified")
