@@ -19,12 +19,13 @@ The benchmark is taken in blocks of bounded size, each against all documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,7 +40,6 @@ DENSE_WORDS = 30
 AGREE = 0.6
 #: bytes of benchmark text in a block
 BLOCK_BYTES = 8 << 20
-_TABLE_BITS = 20
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -107,6 +107,8 @@ class Index:
         self.item = np.concatenate(item).astype(np.int64) if item else np.zeros(0, np.int64)
         first = np.concatenate([[0], np.cumsum([len(h) + self.steps for h in self.items])])[:-1].astype(np.int64)
         self.offset = self.place - first[self.item]
+        # one place in sixteen of a table is taken at most
+        self.table_bits = max(12, (16 * len(self.place)).bit_length())
         h = np.concatenate(joined) if joined else np.zeros(0, U64)
         rng = np.random.default_rng(20240611)
         self.bits = (rng.integers(1, 1 << 63, (REPEATS, self.steps), dtype=np.uint64) << U64(1)) | U64(1)
@@ -116,8 +118,8 @@ class Index:
         for r in range(REPEATS):
             emitted, key = self.walk(h, self.place, r)
             order = np.argsort(key, kind="stable")
-            table = np.zeros(1 << _TABLE_BITS, bool)
-            table[(key >> U64(64 - _TABLE_BITS)).astype(np.int64)] = True
+            table = np.zeros(1 << self.table_bits, bool)
+            table[(key >> U64(64 - self.table_bits)).astype(np.int64)] = True
             self.keys.append(key[order])
             self.owner.append(order)
             self.tables.append(table)
@@ -166,7 +168,7 @@ class Index:
         where, which = [], []
         for r in range(REPEATS):
             _, key = self.walk(ext, start, r, keep=False)
-            near = np.flatnonzero(self.tables[r][(key >> U64(64 - _TABLE_BITS)).astype(np.int64)])
+            near = np.flatnonzero(self.tables[r][(key >> U64(64 - self.table_bits)).astype(np.int64)])
             if not len(near):
                 continue
             lo, hi = np.searchsorted(self.keys[r], key[near], "left"), np.searchsorted(self.keys[r], key[near], "right")
@@ -270,28 +272,34 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHO
     return out
 
 
+def _holds(shared: Broadcast, threshold: float) -> Callable[[Column], Column]:
+    """Whether a text holds an item of a block nearly."""
+
+    @F.arrow_udf("boolean")
+    def holds(text: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ixs = indexes(*shared.value, threshold)
+        for t in text:
+            out = [np.zeros(0, bool)]
+            for part in tx.chunks(pa.RecordBatch.from_arrays([t], ["text"]), "text"):
+                _, _, h, at = tx.words(*tx.buffers(part.column(0)))
+                dirty = np.zeros(part.num_rows, bool)
+                for ix in ixs:
+                    for d, _, _, _ in ix.find(h, at):
+                        dirty[d] = True
+                out.append(dirty)
+            yield pa.array(np.concatenate(out))
+
+    return holds
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, *, threshold: float = THRESHOLD, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without those that hold an item nearly; all columns stay, nothing is shuffled."""
+    """docs without those that hold an item nearly; all columns stay, nothing is shuffled, only texts go to Python."""
     for ids, texts in blocks(benchmark, item_id_col, item_text_col, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-        place = docs.columns.index(text_col)
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared, place=place) -> Iterator[pa.RecordBatch]:
-            ixs = indexes(*shared.value, threshold)
-            for b in batches:
-                names = b.schema.names
-                for part in tx.chunks(b.rename_columns([f"c{i}" for i in range(len(names))]), f"c{place}"):
-                    _, _, h, at = tx.words(*tx.buffers(part.column(place)))
-                    keep = np.ones(part.num_rows, bool)
-                    for ix in ixs:
-                        for d, _, _, _ in ix.find(h, at):
-                            keep[d] = False
-                    if keep.any():
-                        yield part.filter(pa.array(keep)).rename_columns(names)
-
-        docs = docs.mapInArrow(work, docs.schema)
+        holds = _holds(docs.sparkSession.sparkContext.broadcast((ids, texts)), threshold)
+        docs = docs.where(~holds(docs[text_col].cast("string")))
     return docs
 
 
 def op5_cgk_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold an item of the benchmark, each with the items."""
     return matches(common.read_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
