@@ -292,27 +292,31 @@ class Page:
 
 
 def directories(raw: bytes) -> Iterator[dict[int, tuple]]:
-    """The tags of each image directory, in the order of their chain."""
-    if raw[:4] not in (b"II*\0", b"MM\0*"):
+    """The tags of each image directory, in the order of their chain; files with 4-byte and with 8-byte offsets."""
+    if raw[:4] not in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+"):
         raise TiffError("no TIFF header")
-    o = "<" if raw[:1] == b"I" else ">"
+    o, big = "<" if raw[:1] == b"I" else ">", b"+" in raw[2:4]
+    # codes of a directory's count, of an entry's count and of a place; their sizes; bytes of an entry
+    many, place_code, head, inline, entry = ("Q", "Q", 8, 8, 20) if big else ("H", "I", 2, 4, 12)
     try:
-        (at,) = struct.unpack_from(f"{o}I", raw, 4)
+        (at,) = struct.unpack_from(f"{o}{place_code}", raw, 8 if big else 4)
         seen = set()
         while at:
             if at in seen:
                 raise TiffError("the directories form a loop")
             seen.add(at)
-            (n,) = struct.unpack_from(f"{o}H", raw, at)
+            (n,) = struct.unpack_from(f"{o}{many}", raw, at)
+            if at + head + entry * n > len(raw):
+                raise TiffError("the file is cut short")
             tags: dict[int, tuple] = {0: (o,)}
             for k in range(n):
-                tag, kind, count = struct.unpack_from(f"{o}HHI", raw, at + 2 + 12 * k)
+                tag, kind, count = struct.unpack_from(f"{o}HH{place_code}", raw, at + head + entry * k)
                 if kind not in _SIZES:
                     continue
                 size = _SIZES[kind] * count
-                place = at + 10 + 12 * k
-                if size > 4:
-                    (place,) = struct.unpack_from(f"{o}I", raw, place)
+                place = at + head + entry * k + entry - inline
+                if size > inline:
+                    (place,) = struct.unpack_from(f"{o}{place_code}", raw, place)
                 if place + size > len(raw):
                     raise TiffError("a tag's values lie outside the file")
                 if kind in (1, 3, 4, 16):
@@ -321,55 +325,98 @@ def directories(raw: bytes) -> Iterator[dict[int, tuple]]:
                 else:
                     tags[tag] = (raw[place : place + size],)
             yield tags
-            (at,) = struct.unpack_from(f"{o}I", raw, at + 2 + 12 * n)
+            (at,) = struct.unpack_from(f"{o}{place_code}", raw, at + head + entry * n)
     except struct.error as e:
         raise TiffError("the file is cut short") from e
 
 
+#: bytes that one stored byte can stand for at most: an LZW code of 9 to 12 bits gives 4,096 at most, deflate about 1,030
+EXPANSION = 4096
+_MIRRORED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
+
+
+def _inflate(cell: bytes, need: int) -> bytes:
+    try:
+        return zlib.decompressobj().decompress(cell, need)
+    except zlib.error as e:
+        raise TiffError("deflate data is broken") from e
+
+
+def _unpacked(cell: bytes, rows: int, columns: int, bits: int) -> np.ndarray:
+    """(rows, columns) samples of 1, 2 or 4 bits; rows begin at whole bytes."""
+    wide = -(-columns * bits // 8)
+    if len(cell) < rows * wide:
+        raise TiffError("a strip or tile is too short")
+    each = np.unpackbits(np.frombuffer(cell, np.uint8, rows * wide).reshape(rows, wide), axis=1)
+    each = each[:, : columns * bits].reshape(rows, columns, bits)
+    return (each << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(2, dtype=np.uint8)
+
+
 def decode(raw: bytes) -> Iterator[Page]:
+    """Pages of a file. Samples of 1, 2 and 4 bits come as bytes; values are as stored, whatever the photometric rule."""
     for number, tags in enumerate(directories(raw)):
-        one = lambda tag, default=None, tags=tags: tags[tag][0] if tags.get(tag) else default
+
+        def one(tag: int, default: int = 0, tags: dict = tags) -> int:
+            value = tags[tag][0] if tags.get(tag) else default
+            if not isinstance(value, int):
+                raise TiffError(f"tag {tag} isn't a number")
+            return value
+
+        def places(tag: int, tags: dict = tags) -> tuple[int, ...]:
+            values = tags.get(tag, ())
+            if not all(isinstance(x, int) for x in values):
+                raise TiffError(f"tag {tag} isn't a list of numbers")
+            return values
+
         w, h = one(256), one(257)
         if not w or not h:
             raise TiffError("a page has no size")
         bits, samples, comp, pred = one(258, 1), one(277, 1), one(259, 1), one(317, 1)
-        if bits not in (8, 16, 32, 64) or len(set(tags.get(258, (bits,)))) != 1:
+        if bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(tags.get(258, (bits,)))) != 1:
             raise TiffError(f"{bits} bits a sample aren't taken")
-        if one(284, 1) != 1:
-            raise TiffError("planar samples aren't taken")
+        if bits < 8 and pred != 1:
+            raise TiffError("a predictor needs whole bytes")
         form = {1: "u", 2: "i", 3: "f"}.get(one(339, 1), "u")
-        if form == "f" and bits == 8:
-            raise TiffError("8-bit floats aren't taken")
-        kind = np.dtype(f"{tags[0][0]}{form}{bits // 8}")
+        if form == "f" and bits <= 8:
+            raise TiffError("floats of 8 bits or fewer aren't taken")
+        kind = np.dtype("u1") if bits < 8 else np.dtype(f"{tags[0][0]}{form}{bits // 8}")
         tiled = 324 in tags
         th, tw = (one(323), one(322)) if tiled else (min(one(278, h), h), w)
-        offs, sizes = (tags.get(324), tags.get(325)) if tiled else (tags.get(273), tags.get(279))
+        offs, sizes = (places(324), places(325)) if tiled else (places(273), places(279))
         if not offs or not sizes or not th or not tw:
             raise TiffError("a page has no data")
-        across = -(-w // tw)
-        if len(offs) != len(sizes) or len(offs) < across * -(-h // th):
+        if samples < 1:
+            raise TiffError("a page has no samples")
+        # planar files hold one sample after another, each in strips or tiles of its own
+        planes, own = (samples, 1) if one(284, 1) == 2 else (1, samples)
+        across, down = -(-w // tw), -(-h // th)
+        if len(offs) != len(sizes) or len(offs) < across * down * planes:
             raise TiffError("a page has too few strips or tiles")
+        for at, size in zip(offs, sizes, strict=True):
+            if at + size > len(raw):
+                raise TiffError("a strip or tile lies outside the file")
+        # nothing is made room for that the stored bytes can't fill
+        if h * w * samples * bits // 8 > sum(sizes) * (1 if comp == NONE else EXPANSION) or across * tw * th * own * bits // 8 > EXPANSION * (sum(sizes) + 1):
+            raise TiffError("a page is larger than its data")
         pixels = np.zeros((h, w, samples), kind.newbyteorder("="))
-        for k in range(across * -(-h // th)):
-            y, x = k // across * th, k % across * tw
+        for k in range(across * down * planes):
+            plane, cell_number = divmod(k, across * down)
+            y, x = cell_number // across * th, cell_number % across * tw
             rows = th if tiled else min(th, h - y)
-            need = rows * tw * samples * kind.itemsize
-            if offs[k] + sizes[k] > len(raw):
-                raise TiffError("a strip or tile lies outside the file")
+            need = rows * (-(-tw * own * bits // 8))
             cell = raw[offs[k] : offs[k] + sizes[k]]
-            try:
-                if comp == PACKBITS:
-                    cell = packbits_decode(cell, need)
-                elif comp == LZW:
-                    cell = lzw_decode(cell, need)
-                elif comp in (DEFLATE, _OLD_DEFLATE):
-                    cell = zlib.decompress(cell)
-                elif comp != NONE:
-                    raise TiffError(f"compression {comp} isn't taken")
-            except zlib.error as e:
-                raise TiffError("deflate data is broken") from e
-            a = _undo(cell, (rows, tw, samples), kind, pred)
-            pixels[y : y + rows, x : x + tw] = a[: min(rows, h - y), : min(tw, w - x)]
+            if one(266, 1) == 2 and bits < 8:
+                cell = cell.translate(_MIRRORED)
+            if comp == PACKBITS:
+                cell = packbits_decode(cell, need)
+            elif comp == LZW:
+                cell = lzw_decode(cell, need)
+            elif comp in (DEFLATE, _OLD_DEFLATE):
+                cell = _inflate(cell, need)
+            elif comp != NONE:
+                raise TiffError(f"compression {comp} isn't taken")
+            a = _undo(cell, (rows, tw, own), kind, pred) if bits >= 8 else _unpacked(cell, rows, tw * own, bits).reshape(rows, tw, own)
+            pixels[y : y + rows, x : x + tw, plane : plane + own] = a[: min(rows, h - y), : min(tw, w - x)]
         yield Page(number, w, h, bits, samples, comp, pred, "tiles" if tiled else "strips", pixels)
 
 
@@ -458,4 +505,5 @@ def text_pages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 
 def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a TIFF file and read back: lengths, digests, and a feature of the pixels."""
     return text_pages(common.read_docs(spark, sf_dir))
