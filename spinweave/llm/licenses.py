@@ -7,7 +7,7 @@ out (it may nest); ``<<var;match="...">>`` is a region that may be replaced:
 ``x y|z`` by one of the listed wordings. A template becomes an automaton over
 words, made deterministic as texts are read; a place matches if the words from
 there lead to acceptance, so mandatory wording matches exactly. The longest
-match from each place counts.
+match from each place counts. Markup and rules of another form are refused.
 """
 
 from __future__ import annotations
@@ -23,20 +23,51 @@ from . import common
 from . import text as tx
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
-_MARK = re.compile(r"<<(beginOptional|endOptional|var)(?:;([^<>]*))?>>", re.S)
+_MARK = re.compile(r'<<(beginOptional|endOptional|var)((?:;(?:[^;"<>]|"[^"]*")*)*)>>', re.S)
 
 #: label: phrase whose words stand one after another
 BASE = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
 
-#: label: template. Wording of public license notices.
+#: the two- and three-clause texts differ by their third clause
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+    <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+    <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+    in the documentation and or other materials provided with the distribution {third}
+    this software is provided by <<var;match=".{{1,12}}">> as is and any express or implied warranties including but not limited to
+    the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;match=".{{1,12}}">> be liable for any
+    direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+    loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort
+    including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+
+#: label: template. Wording of public license notices, and whole texts of the short licenses.
 TEMPLATES = {
     "mit-notice": '<<var;match="released|licensed|distributed">> under the mit license',
     "apache-2.0-notice": 'licensed under <<beginOptional>>the terms of<<endOptional>> the apache license version 2 0 <<beginOptional>>the license<<endOptional>>',
     "cc-by-nc-notice": '<<beginOptional>><<var;match="this work is|released|licensed">><<endOptional>> <<beginOptional>>licensed<<endOptional>> under <<beginOptional>>a<<endOptional>> <<var;match="cc by nc|creative commons attribution noncommercial|creative commons attribution non commercial">> <<var;match="1 0|2 0|2 5|3 0|4 0">> <<beginOptional>>international<<endOptional>> <<beginOptional>>license<<endOptional>>',
     "gpl-notice": 'licensed under the <<beginOptional>>terms of the<<endOptional>> gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>><<var;match="version|either version">> <<var;match="2|3">> <<beginOptional>>of the license<<endOptional>> <<beginOptional>>or at your option any later version<<endOptional>><<endOptional>>',
-    "mit-text": '<<beginOptional>>the mit license <<beginOptional>>mit<<endOptional>><<endOptional>> <<beginOptional>>copyright <<var;match=".{0,20}">><<endOptional>> permission is hereby granted free of charge to any person obtaining a copy of <<var;match="this software and associated documentation files|this software">> the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions',
-    "bsd-text": 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met',
-    "isc-text": 'permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies',
+    "apache-2.0-header": """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+        you may obtain a copy of the license at <<var;match="http|https">> www apache org licenses license 2 0 unless required by applicable law or agreed to in writing
+        software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+        see the license for the specific language governing permissions and limitations under the license""",
+    "mpl-2.0-notice": """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file
+        you can obtain one at <<var;match="http|https">> mozilla org mpl 2 0""",
+    "mit-text": """<<beginOptional>>the mit license <<beginOptional>>mit<<endOptional>><<endOptional>> <<beginOptional>>copyright <<var;match=".{0,20}">><<endOptional>>
+        permission is hereby granted free of charge to any person obtaining a copy of <<var;match="this software and associated documentation files|this software">>
+        the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense
+        and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+        the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies
+        or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to
+        the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var;match=".{1,10}">> be liable for any claim
+        damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software
+        or the use or other dealings in the software""",
+    "bsd-2-text": _BSD.format(third=""),
+    "bsd-3-text": _BSD.format(third="""<<beginOptional>>3<<endOptional>> neither the name of <<var;match=".{1,10}">> nor the names of <<var;match="its|their">> contributors
+        may be used to endorse or promote products derived from this software without specific prior written permission"""),
+    "isc-text": """permission to use copy modify <<var;match="and or|and">> distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;match=".{1,10}">>
+        disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall
+        <<var;match=".{1,10}">> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+        whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
     "spdx-tag": 'spdx license identifier <<var;match="mit|apache 2 0|bsd 2 clause|bsd 3 clause|gpl 2 0 only|gpl 3 0 or later|isc|mpl 2 0">>',
 }
 
@@ -48,9 +79,15 @@ def split_words(raw: bytes) -> list[bytes]:
 def parse(template: str) -> list:
     """Nested items: a word, ("any", least, most or None), ("one", [words, ...]) or ("optional", items)."""
     stack: list[list] = [[]]
+
+    def plain(text: str) -> list[bytes]:
+        if "<<" in text or ">>" in text:
+            raise ValueError(f"markup that isn't understood: {text.strip()!r}")
+        return split_words(text.encode())
+
     at = 0
     for m in _MARK.finditer(template):
-        stack[-1] += split_words(template[at : m.start()].encode())
+        stack[-1] += plain(template[at : m.start()])
         at = m.end()
         if m[1] == "beginOptional":
             stack.append([])
@@ -60,17 +97,23 @@ def parse(template: str) -> list:
             inner = stack.pop()
             stack[-1].append(("optional", inner))
         else:
-            found = re.search(r'match="([^"]*)"', m[2] or "")
+            found = re.search(r';\s*match="([^"]*)"', m[2])
             rule = found[1] if found else ".+"
             if bounds := re.fullmatch(r"\.\{(\d+),(\d+)\}", rule):
-                stack[-1].append(("any", int(bounds[1]), int(bounds[2])))
+                least, most = int(bounds[1]), int(bounds[2])
+                if least > most:
+                    raise ValueError(f"a rule that isn't understood: {rule!r}")
+                stack[-1].append(("any", least, most))
             elif rule in (".+", ".*"):
                 stack[-1].append(("any", int(rule == ".+"), None))
             else:
-                stack[-1].append(("one", [split_words(x.encode()) for x in rule.split("|")]))
+                wordings = [split_words(x.encode()) for x in rule.split("|")]
+                if re.search(r"[][(){}*+?^$\\]", rule) or not all(wordings):
+                    raise ValueError(f"a rule that isn't understood: {rule!r}")
+                stack[-1].append(("one", wordings))
     if len(stack) > 1:
         raise ValueError("beginOptional without endOptional")
-    return stack[0] + split_words(template[at:].encode())
+    return stack[0] + plain(template[at:])
 
 
 class Automaton:
@@ -220,4 +263,5 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bas
 
 
 def op2_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and template labels of every document."""
     return scan(common.read_docs(spark, sf_dir))
