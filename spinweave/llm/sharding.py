@@ -78,20 +78,25 @@ def shards(docs: DataFrame, *, limit_bytes: int, id_col: str = "doc_id", text_co
 
 
 def _pages(rows: DataFrame, limit_bytes: int) -> DataFrame:
-    """Each task's share of a bucket of equal hashes, cut into pages of as many rows as fit by the largest of them."""
-    from pyspark.sql import Window
+    """Pages of buckets of equal hashes: of as many equal rows (same id and size) as fit, by their number.
 
-    own = rows.withColumn("task", F.spark_partition_id())
-    w = Window.partitionBy("hash_bits", "task")
-    number = F.row_number().over(w.orderBy("doc_id", "n_bytes")) - 1
-    most = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.greatest(F.lit(1), F.max("n_bytes").over(w))))
-    return own.withColumn("page", F.concat_ws(".", F.col("task"), F.floor(number / most) + 1)).drop("task")
+    Equal rows are counted, wherever they lie, and given out again page by
+    page, so pages don't depend on how rows are dealt over tasks.
+    """
+    columns = ["doc_id", "n_bytes", "hash_bits", "depth", "bucket", "bucket_bytes", "bucket_docs"]
+    same = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    most = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.greatest(F.lit(1), F.col("n_bytes")))).cast("long")
+    pages = same.withColumn("most", most).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("most")))))
+    here = F.least(F.col("most"), F.col("n") - F.col("k") * F.col("most"))
+    name = F.concat_ws(".", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "n_bytes", F.col("k") + 1)
+    return pages.select(*columns, name.alias("page"), F.explode(F.sequence(F.lit(1).cast("long"), here)).alias("row")).drop("row")
 
 
 LIMIT = 1 << 20
 
 
 def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, at 1 MiB a shard."""
     return shards(common.read_docs(spark, sf_dir), limit_bytes=LIMIT)
 
 
