@@ -51,20 +51,22 @@ class Harmonic:
 
     def add(self, piece: tuple, ids: np.ndarray) -> Iterator[tuple]:
         """piece: (doc_id, start, length, doc_tokens). Gives the pieces of a sequence when it is full."""
-        n = piece[2]
-        rows = self.open.setdefault(n, [])
+        number = self.capacity // piece[2]
+        rows = self.open.setdefault(number, [])
         rows.append((piece, ids))
-        if len(rows) == self.capacity // n:
-            for k, (p, x) in enumerate(rows):
-                yield (*p, x, self.next, k * n)
+        if len(rows) == number:
+            at = 0
+            for p, x in rows:
+                yield (*p, x, self.next, at)
+                at += p[2]
             self.next += 1
-            self.open[n] = []
+            self.open[number] = []
 
     def close(self) -> Iterator[tuple]:
-        """The waiting pieces, longest first, laid into sequences and cut at their ends."""
+        """The waiting pieces, longest class first, laid into sequences and cut at their ends."""
         at = 0
-        for n in sorted(self.open, reverse=True):
-            for (doc, start, length, total), ids in self.open[n]:
+        for number in sorted(self.open):
+            for (doc, start, length, total), ids in self.open[number]:
                 done = 0
                 while done < length:
                     take = min(length - done, self.capacity - at)
@@ -129,4 +131,5 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
 
 
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 1,024 ids."""
     return pack(common.read_docs(spark, sf_dir))
