@@ -3,8 +3,9 @@ distinct pre-token once, and numpy places the ids.
 
 The pre-token rule of byte-level BPE cuts a text into pieces that are encoded
 independently, so encoding distinct pieces and joining their ids equals
-encoding the text. Texts with a special token's string, or with a code point
-whose class differs between Unicode versions, are encoded whole by the library.
+encoding the text. Pieces are told apart by their code points; hashes only find
+equal ones. Texts with a special token's string, or with a code point whose
+class differs between Unicode versions, are encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def _classes() -> np.ndarray:
 class Encoder:
     """encode(texts) -> (ids, offsets). Its cache of pieces is bounded by max_pieces."""
 
-    def __init__(self, path: str | None = None, max_pieces: int = 2_000_000):
+    def __init__(self, path: str | None = None, max_pieces: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -63,26 +64,40 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.flat = np.zeros(1 << 16, np.uint32)
+        self.known: dict[str, int] = {}
+        self.first = np.zeros(1 << 12, np.int64)
+        self.count = np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 14, np.uint32)
         self.used = 0
 
-    def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    def _add(self, pieces: list[str]) -> None:
         one = self.tk.model.tokenize
         each = [[t.id for t in one(x.replace(" ", "\u0120") if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.visible))] for x in pieces]
         ids = np.array([i for x in each for i in x], np.uint32)
         count = np.array([len(x) for x in each], np.int64)
+        at = len(self.known)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + len(pieces) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
         self.flat[self.used : self.used + len(ids)] = ids
-        first = self.used + np.cumsum(count) - count
+        self.first[at : at + len(pieces)] = self.used + np.cumsum(count) - count
+        self.count[at : at + len(pieces)] = count
         self.used += len(ids)
-        at = np.searchsorted(self.keys, hashes)
-        self.keys = np.insert(self.keys, at, hashes)
-        self.first = np.insert(self.first, at, first)
-        self.count = np.insert(self.count, at, count)
+        self.known.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+
+    def _distinct(self, cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of distinct pieces, and each piece's number among them."""
+        _, where, inverse = np.unique(tx.span_hashes(cp, s, e), return_index=True, return_inverse=True)
+        size, model = e - s, where[inverse]
+        if (size == size[model]).all():
+            # pieces follow one another without gaps: every code point against that of its piece's model
+            back = np.repeat(s[model] - s, size) + np.arange(len(cp))
+            if (cp[back] == cp).all():
+                return where, inverse
+        order: dict[bytes, int] = {}
+        numbers = np.array([order.setdefault(cp[a:b].tobytes(), len(order)) for a, b in zip(s.tolist(), e.tolist(), strict=True)])
+        return np.unique(numbers, return_index=True)[1], numbers
 
     def _spans(self, cp: np.ndarray, cls: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(cp)
@@ -140,20 +155,16 @@ class Encoder:
                 parts[i] = np.array(self.tk.encode(texts[i], add_special_tokens=False).ids, np.uint32)
             return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         s, e = self._spans(cp, cls, offs)
-        h = tx.span_hashes(cp, s, e)
-        uniq, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, uniq)
-        new = np.ones(len(uniq), bool)
-        if len(self.keys):
-            new = self.keys[np.minimum(at, len(self.keys) - 1)] != uniq
-        if new.any():
-            if len(self.keys) + int(new.sum()) > self.max_pieces:
+        where, inverse = self._distinct(cp, s, e)
+        pieces = [joined[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)]
+        new = [x for x in pieces if x not in self.known]
+        if new:
+            if len(self.known) + len(new) > self.max_pieces:
                 self._reset()
-                new = np.ones(len(uniq), bool)
-            w = where[new]
-            self._add(uniq[new], [joined[a:b] for a, b in zip(s[w].tolist(), e[w].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, uniq)
-        first, count = self.first[at][inverse], self.count[at][inverse]
+                new = pieces
+            self._add(new)
+        own = np.array([self.known[x] for x in pieces], np.int64)[inverse]
+        first, count = self.first[own], self.count[own]
         ends = np.cumsum(count)
         ids = self.flat[np.repeat(first - (ends - count), count) + np.arange(ends[-1])]
         piece = np.searchsorted(s, offs)
