@@ -128,6 +128,7 @@ def report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def op9_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses, with its keep bitmap."""
     return report(common.read_docs(spark, sf_dir))
 
 

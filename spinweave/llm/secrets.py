@@ -136,4 +136,5 @@ def scan(
 
 
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and verdicts of every document."""
     return scan(common.read_docs(spark, sf_dir))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import random
 import struct
@@ -67,6 +68,75 @@ def test_broken_files_give_an_error_row(spark):
     assert all(by[k][-1]["error"] and by[k][-1]["page"] is None for k in ("null", "empty", "text", "loop", "cut"))
 
 
+def plain_file(tags, data, order="<", big=False):
+    """A file of one page: its data first, then its directory; tags: {tag: (kind, values)}."""
+    code = {1: "B", 2: "s", 3: "H", 4: "I", 16: "Q"}
+    place, room = ("Q", 8) if big else ("I", 4)
+    start = 16 if big else 8
+    out, later = b"", data
+    entries = []
+    for tag, (kind, values) in sorted(tags.items()):
+        raw = values if kind == 2 else struct.pack(f"{order}{len(values)}{code[kind]}", *values)
+        if len(raw) > room:
+            entries.append((tag, kind, len(values), struct.pack(f"{order}{place}", start + len(later))))
+            later += raw
+        else:
+            entries.append((tag, kind, len(values), raw.ljust(room, b"\0")))
+    for tag, kind, count, value in entries:
+        out += struct.pack(f"{order}HH{place}", tag, kind, count) + value
+    head = (b"II" if order == "<" else b"MM") + struct.pack(f"{order}H", 43 if big else 42)
+    head += struct.pack(f"{order}HHQ", 8, 0, start + len(later)) if big else struct.pack(f"{order}I", start + len(later))
+    return head + later + struct.pack(f"{order}{'Q' if big else 'H'}", len(entries)) + out + bytes(room)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("big", [False, True])
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_small_samples(order, big, bits):
+    rng = np.random.default_rng(bits)
+    a = rng.integers(0, 1 << bits, (11, 37), dtype=np.uint8)
+    rows = ["".join(f"{x:0{bits}b}" for x in r) for r in a.tolist()]
+    raw = b"".join(int(r.ljust(-(-len(r) // 8) * 8, "0"), 2).to_bytes(-(-len(r) // 8), "big") for r in rows)
+    start = 16 if big else 8
+    for comp, fill in ((1, 1), (32773, 1), (1, 2), (8, 1), (5, 1)):
+        data = raw if comp == 1 else tiff._compress(raw, comp)
+        if fill == 2:
+            data = bytes(int(f"{x:08b}"[::-1], 2) for x in data)
+        tags = {256: (4, [37]), 257: (4, [11]), 258: (3, [bits]), 259: (3, [comp]), 266: (3, [fill]), 273: (4, [start]), 278: (4, [11]), 279: (4, [len(data)])}
+        (page,) = tiff.decode(plain_file(tags, data, order, big))
+        assert (page.pixels[:, :, 0] == a).all() and page.bits == bits
+
+
+def test_planar_samples():
+    a = np.random.default_rng(1).integers(0, 256, (9, 20, 3), dtype=np.uint8)
+    parts = [zlib.compress(a[i : i + 4, :, s].tobytes()) for s in range(3) for i in (0, 4, 8)]
+    at = [8 + sum(map(len, parts[:k])) for k in range(9)]
+    tags = {256: (3, [20]), 257: (3, [9]), 258: (3, [8] * 3), 259: (3, [8]), 273: (4, at), 277: (3, [3]), 278: (3, [4]), 279: (4, [len(x) for x in parts]), 284: (3, [2])}
+    (page,) = tiff.decode(plain_file(tags, b"".join(parts)))
+    assert (page.pixels == a).all()
+
+
+def test_malformed_pages_are_errors():
+    data = bytes(64)
+    good = {256: (4, [8]), 257: (4, [8]), 258: (3, [8]), 259: (3, [1]), 273: (4, [8]), 279: (4, [64])}
+    assert len(list(tiff.decode(plain_file(good, data)))) == 1
+    bad = [{256: (2, b"8")}, {257: (4, [0])}, {256: (4, [2**31]), 257: (4, [2**20])}, {273: (2, b"abcdefgh")}, {279: (4, [65_000])}, {277: (3, [60000])}, {259: (3, [8])}, {258: (3, [3])}, {258: (3, [1]), 317: (3, [2])}, {259: (3, [99])}]
+    bad += [{259: (3, [5]), 256: (4, [2**20]), 257: (4, [2**20])}, {322: (4, [2**30]), 323: (4, [2**30]), 324: (4, [8]), 325: (4, [64])}]
+    for change in bad:
+        with pytest.raises(tiff.TiffError):
+            list(tiff.decode(plain_file(good | change, data)))
+    rng = random.Random(6)
+    whole = tiff.encode([np.zeros((30, 64), np.uint8)], compression=tiff.LZW)
+    for _ in range(400):
+        raw = bytearray(whole)
+        for _ in range(rng.randint(1, 4)):
+            raw[rng.randrange(len(raw))] = rng.randrange(256)
+        try:
+            list(tiff.decode(bytes(raw)))
+        except tiff.TiffError:
+            pass
+
+
 def test_text_pages_against_the_payload(spark):
     got = sorted(map(tuple, tiff.text_pages(odd_docs(spark)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32").collect()), key=str)
     want = []
@@ -75,6 +145,18 @@ def test_text_pages_against_the_payload(spark):
         p = raw + bytes(-len(raw) % 64) if raw else bytes(64)
         want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
     assert got == sorted(want, key=str)
+    features = {r["doc_id"]: r["feature"] for r in tiff.text_pages(odd_docs(spark)).collect() if r["doc_id"] is not None}
+    for i, t in odd_rows():
+        if i is None:
+            continue
+        raw = (t or "").encode()
+        p = raw + bytes(-len(raw) % 64) if raw else bytes(64)
+        mean = sum(p) / len(p)
+        share = [p.count(x) / len(p) for x in set(p)]
+        mode = max(sorted(set(p)), key=p.count)
+        deviation = math.sqrt(sum((x - mean) ** 2 for x in p) / len(p))
+        entropy = abs(sum(x * math.log2(x) for x in share))
+        assert features[i] == f"pages={-(-len(p) // 65536)};mean={mean:.4f};std={deviation:.4f};entropy={entropy:.4f};mode={mode}"
     by_text = {}
     for r in tiff.text_pages(odd_docs(spark)).collect():
         by_text.setdefault(r["payload_sha256"], set()).add((r["media_sha256"], r["feature"]))
@@ -144,3 +226,36 @@ def test_templates_label_and_bad_markup_raises(spark):
     for bad in ("<<beginOptional>>a", "a<<endOptional>>", "<<beginOptional>>a<<endOptional>>"):
         with pytest.raises(ValueError):
             licenses.Automaton(bad)
+
+
+def test_markup_that_is_not_understood():
+    assert licenses.parse('<<var;name="c";original="<y> z";match="a b|c">> d') == [("one", [[b"a", b"b"], [b"c"]]), b"d"]
+    for bad in ('<<var;match="[^.]+">>', "<<var;match=\"a|\">> x", "<<unknown>> a", "a >> b", '<<var;match=".{3,1}">>', "<<beginOptional>> a", "a <<endOptional>>", '<<var;match="a(b)?">>'):
+        with pytest.raises(ValueError):
+            licenses.parse(bad)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_whole_texts(spark):
+    """A text with all of the mandatory wording has the label; one with another condition, or two clauses for three, hasn't."""
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    fill = lambda t: t.replace('<<var;match=".{1,12}">>', "THE COPYRIGHT HOLDERS").replace("<<beginOptional>>", "").replace("<<endOptional>>", ". ")
+    two, three = fill(licenses._BSD.format(third="")), fill(licenses._BSD.format(third=third))
+    rows = [(1, MIT), (2, MIT.replace("sell\ncopies", "give away\ncopies")), (3, MIT[: MIT.index("THE SOFTWARE IS")]), (4, two), (5, three), (6, three.replace("endorse", "praise"))]
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: {"mit-text"}, 2: set(), 3: set(), 4: {"bsd-2-text"}, 5: {"bsd-3-text"}, 6: set()}

@@ -41,6 +41,8 @@ def test_repeated_rows_fill_pages(spark):
     for r in got:
         size[r["depth"], r["bucket"], r["page"]] += r["n_bytes"]
     assert len(got) == 51 and all(v <= 20 for k, v in size.items() if k[2] != "0")
+    again = sharding.shards(docs.repartition(7), limit_bytes=20).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(size) == 11
 
 
 PATTERNS = [("assign", re.compile(secrets.ASSIGN)), ("access", re.compile(r"AKIA[A-Z0-9]+")), ("hex", re.compile(r"[0-9a-f]+"))]

@@ -84,3 +84,28 @@ def test_packing_covers_every_id_once(spark):
     for k, v in parts.items():
         assert sorted((s + j, x) for s, ids in v for j, x in enumerate(ids)) == sorted(want[k])
     assert len(parts) == len(want)
+
+
+def test_pieces_of_equal_hashes(monkeypatch):
+    """Ids don't depend on the pieces' hashes."""
+    plain = bpe.tx.span_hashes
+    monkeypatch.setattr(bpe.tx, "span_hashes", lambda *a: plain(*a) & np.uint64(31))
+    texts = ["some words and some more, of many kinds 12 345", "and other words: a b c d e f g", ""]
+    ids, at = bpe.Encoder().encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == TK.encode(t, add_special_tokens=False).ids
+
+
+def test_classes_of_other_capacities(spark):
+    """With room for 256 and pieces from 64, lengths of one class share sequences and leave no gap between them."""
+    docs = spark.createDataFrame([(i, "word " * (i % 71)) for i in range(500)], "doc_id long, text string").repartition(2)
+    got = defaultdict(list)
+    for r in packing.pack(docs, capacity=256, smallest=64).collect():
+        got[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in got.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert any(len({256 // n for _, n in p}) == 1 and len({n for _, n in p}) > 1 for p in got.values())
