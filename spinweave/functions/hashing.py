@@ -18,15 +18,17 @@ def _sql(x: str, div: str) -> str:
     return f"((({c}) * ({c})) % {M}) {div} 1024"
 
 
-def edge_key(src: str, dst: str, salt: int = 0) -> str:
-    return f"CAST({src} AS BIGINT) * 1000003 + CAST({dst} AS BIGINT) * 7919 + 17 + {salt * 104729}"
+def edge_key(src: str, dst: str, salt: int | str = 0) -> str:
+    """salt: a number, or the name of a column that holds it."""
+    more = str(salt * 104729) if isinstance(salt, int) else f"CAST({salt} AS BIGINT) * 104729"
+    return f"CAST({src} AS BIGINT) * 1000003 + CAST({dst} AS BIGINT) * 7919 + 17 + {more}"
 
 
 def node_key(node: str, salt: int = 0) -> str:
     return f"CAST({node} AS BIGINT) + {1000003 * salt}"
 
 
-def edge_hash(src: str = "src", dst: str = "dst", salt: int = 0) -> Column:
+def edge_hash(src: str = "src", dst: str = "dst", salt: int | str = 0) -> Column:
     """Hash of an edge, 0 to about 2**21."""
     return F.expr(_sql(edge_key(src, dst, salt), "div"))
 
@@ -35,7 +37,7 @@ def node_hash(node: str = "id", salt: int = 0) -> Column:
     return F.expr(_sql(node_key(node, salt), "div"))
 
 
-def edge_hash_sql(src: str, dst: str, salt: int = 0) -> str:
+def edge_hash_sql(src: str, dst: str, salt: int | str = 0) -> str:
     """The same hash in SQL with // as integer division."""
     return _sql(edge_key(src, dst, salt), "//")
 
@@ -44,7 +46,7 @@ def node_hash_sql(node: str, salt: int = 0) -> str:
     return _sql(node_key(node, salt), "//")
 
 
-def flips(p: float, src: str = "src", dst: str = "dst", salt: int = 0) -> Column:
+def flips(p: float, src: str = "src", dst: str = "dst", salt: int | str = 0) -> Column:
     """True for about a share p of all edges."""
     return edge_hash(src, dst, salt) % 1000 < F.lit(1000 * p)
 

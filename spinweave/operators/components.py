@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,11 +11,11 @@ from .graph import both_ways, degrees, induced
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut; the folder is set only where none is."""
+    """df written to the shared checkpoint folder, its lineage cut; where none is set, to one in the warehouse."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spinweave-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_spinweave")
     return df.checkpoint(eager=True)
 
 
@@ -46,9 +44,11 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
-def cluster_sizes(comps: DataFrame) -> DataFrame:
-    """(rank, root, size): clusters by falling size, then root."""
+def cluster_sizes(comps: DataFrame, top: int | None = None) -> DataFrame:
+    """(rank, root, size): clusters by falling size, then root; with top only that many, whose ranks alone are sorted in one task."""
     sizes = comps.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    if top is not None:
+        sizes = sizes.orderBy(F.col("size").desc(), "root").limit(top)
     return sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("size").desc(), "root"))).select("rank", "root", "size")
 
 

@@ -86,6 +86,44 @@ def _sweep(g: Adjacency, s: np.ndarray, order: np.ndarray, temperature: float, r
             s[i] = -s[i]
 
 
+def ising_series(
+    g: Adjacency,
+    rng: np.random.Generator,
+    *,
+    temperature: float,
+    sweeps: int,
+    update: str = "sequential",
+    start: str = "uniform",
+    every: int = 1,
+    field: np.ndarray | None = None,
+    clusters: list | None = None,
+    mode: np.ndarray | None = None,
+    cooling_from: float | None = None,
+) -> tuple[list[tuple], np.ndarray]:
+    """(step, metric, value) rows of one run, and the spins at its end; the arguments are those of ising()."""
+    if update not in ("sequential", "asynchronous", "synchronous"):
+        raise ValueError(update)
+    s, rows = initial(g, rng, start, mode), []
+    first = s.copy()
+    for t in range(sweeps + 1):
+        h = g.fields(s)
+        if t % every == 0 or t == sweeps:
+            rows += [(t, "energy", float(-(s * h).sum() / 2 / max(1, g.m))), (t, "magnetisation", float(s.mean()))]
+            rows += [(t, f"cluster_{k}", float(s[c].mean())) for k, c in enumerate(clusters or [])]
+            if mode is not None:
+                rows.append((t, "overlap", float((s * first).mean())))
+        if t == sweeps or (temperature == 0 and field is None and (s * h >= 0).all()):
+            break
+        now = temperature if cooling_from is None else cooling_from * (max(temperature, 1e-12) / cooling_from) ** (t / max(1, sweeps - 1))
+        if update == "synchronous":
+            d = 2 * s * (h + (0 if field is None else field))
+            turn = d < 0 if now <= 0 else (d < 0) | (rng.random(g.n) < np.exp(-np.maximum(d, 0) / now))
+            s = np.where(turn, -s, s).astype(np.int8)
+        else:
+            _sweep(g, s, np.arange(g.n) if update == "sequential" else rng.integers(0, g.n, g.n), now, rng, field)
+    return rows, s
+
+
 def ising(spark: SparkSession, edges: DataFrame, n: int, *, temperature: float, sweeps: int, count: int, update: str = "sequential", start: str = "uniform", every: int = 1, field: np.ndarray | None = None, clusters: list[list[int]] | None = None, mode: np.ndarray | None = None, cooling_from: float | None = None, seed: int = 0) -> DataFrame:
     """Series of energy per edge ("energy") and mean spin ("magnetisation") before each recorded sweep.
 
@@ -98,25 +136,8 @@ def ising(spark: SparkSession, edges: DataFrame, n: int, *, temperature: float,
         raise ValueError(update)
 
     def run(g: Adjacency, rng: np.random.Generator, _: int) -> list[tuple]:
-        s, rows = initial(g, rng, start, mode), []
-        first = s.copy()
-        for t in range(sweeps + 1):
-            h = g.fields(s)
-            if t % every == 0 or t == sweeps:
-                rows += [(t, "energy", float(-(s * h).sum() / 2 / max(1, g.m))), (t, "magnetisation", float(s.mean()))]
-                rows += [(t, f"cluster_{k}", float(s[c].mean())) for k, c in enumerate(clusters or [])]
-                if mode is not None:
-                    rows.append((t, "overlap", float((s * first).mean())))
-            if t == sweeps or (temperature == 0 and field is None and (s * h >= 0).all()):
-                break
-            now = temperature if cooling_from is None else cooling_from * (max(temperature, 1e-12) / cooling_from) ** (t / max(1, sweeps - 1))
-            if update == "synchronous":
-                d = 2 * s * (h + (0 if field is None else field))
-                turn = d < 0 if now <= 0 else (d < 0) | (rng.random(g.n) < np.exp(-np.maximum(d, 0) / now))
-                s = np.where(turn, -s, s).astype(np.int8)
-            else:
-                _sweep(g, s, np.arange(g.n) if update == "sequential" else rng.integers(0, g.n, g.n), now, rng, field)
-        return rows
+        settings = dict(temperature=temperature, sweeps=sweeps, update=update, start=start, every=every)
+        return ising_series(g, rng, **settings, field=field, clusters=clusters, mode=mode, cooling_from=cooling_from)[0]
 
     return replicas(spark, edges, n, count, run, seed=seed)
 
@@ -154,16 +175,31 @@ def voter(spark: SparkSession, edges: DataFrame, n: int, *, sweeps: int, count:
     return replicas(spark, edges, n, count, run, seed=seed)
 
 
-def contact(spark: SparkSession, edges: DataFrame, n: int, *, recovery: float = 1.0, sweeps: int = 10, count: int = 1, start: str = "uniform", seed: int = 0) -> DataFrame:
+def contact(
+    spark: SparkSession,
+    edges: DataFrame,
+    n: int,
+    *,
+    recovery: float = 1.0,
+    sweeps: int = 10,
+    count: int = 1,
+    start: str = "uniform",
+    update: str = "random",
+    seed: int = 0,
+) -> DataFrame:
     """Signed contact process: inactive nodes turn active at the sum of active positive links, active ones inactive at
-    recovery plus that of active negative links' sizes, with probability 1 - exp(-rate); series of the active share."""
+    recovery plus that of active negative links' sizes, with probability 1 - exp(-rate); series of the active share.
+
+    update: every node once a sweep, in random order ("random") or by number ("sequential")."""
+    if update not in ("random", "sequential"):
+        raise ValueError(update)
 
     def run(g: Adjacency, rng: np.random.Generator, _: int) -> list[tuple]:
         s = (initial(g, rng, start) > 0).astype(np.int8)
         rows = [(0, "active", float(s.mean()))]
         for t in range(1, sweeps + 1):
             u = rng.random(g.n)
-            for i in rng.permutation(g.n).tolist():
+            for i in (range(g.n) if update == "sequential" else rng.permutation(g.n).tolist()):
                 to, w = g.lists[i]
                 rate = float((s[to] * np.maximum(w, 0)).sum()) if not s[i] else recovery + float((s[to] * np.maximum(-w, 0)).sum())
                 if u[i] < 1 - np.exp(-rate):
@@ -216,12 +252,38 @@ def trapped_walk(spark: SparkSession, edges: DataFrame, n: int, *, columns: int,
     return replicas(spark, edges, n, count, run, "replica long, steps long, distance double, node long", seed)
 
 
-def diffusion(edges: DataFrame, field: DataFrame, dt: float, steps: int, signed: bool = True, tolerance: float = 1e-10, blow_up: float = 200.0) -> DataFrame:
-    """field(id, x) after steps of x - dt L x, as joins; stops when the relative change or the size's logarithm says so."""
+def start_field(nodes: DataFrame, kind: str = "delta", size: float = 1.0, salt: int = 0) -> DataFrame:
+    """field(id, x) of nodes(id): delta (the middle id), constant, uniform in [-size, size) or normal, by hashes of the ids."""
+    from ..functions import hashing as H
+
+    u = (H.node_hash("id", salt) % 1_000_000 + 0.5) / 1e6
+    v = (H.node_hash("id", salt + 1) % 1_000_000 + 0.5) / 1e6
+    if kind == "delta":
+        middle = nodes.count() // 2
+        x = F.when(F.col("id") == middle, size).otherwise(0.0)
+    elif kind == "constant":
+        x = F.lit(float(size))
+    elif kind == "uniform":
+        x = size * (2 * u - 1)
+    elif kind == "normal":
+        x = size * F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * v)
+    else:
+        raise ValueError(kind)
+    return nodes.select("id", x.alias("x"))
+
+
+def diffusion(
+    edges: DataFrame, field: DataFrame, dt: float, steps: int, signed: bool = True, tolerance: float = 1e-10, blow_up: float = 200.0, lowest: float | None = None
+) -> DataFrame:
+    """field(id, x) after steps of x - dt L x, as joins; stops when the relative change or the size's logarithm says so.
+
+    lowest: the least eigenvalue; L is then lowered by it, so that the lowest mode neither grows nor fades.
+    """
     from .components import saved
-    from .graph import laplacian, matvec
+    from .graph import laplacian, matvec, shift_diagonal
 
-    m, x = saved(laplacian(edges, signed)), field.select("id", "x")
+    m = laplacian(edges, signed)
+    m, x = saved(m if lowest is None else shift_diagonal(m, -lowest)), field.select("id", "x")
     for k in range(steps):
         moved = x.join(matvec(m, x).withColumnRenamed("x", "y"), "id", "left").select("id", "x", (F.col("x") - dt * F.coalesce("y", F.lit(0.0))).alias("z"))
         if k % 5 == 4:

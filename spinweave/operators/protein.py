@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -27,30 +29,46 @@ def centred(atoms: DataFrame) -> DataFrame:
 
 
 def coordinate_features(atoms: DataFrame, n: int = 1024) -> DataFrame:
-    """(pdb_id, k, v): centred coordinates row by row, every stride-th if over n, scaled by the greatest size, padded with 0."""
-    c = centred(atoms).select("pdb_id", F.posexplode(F.array("x", "y", "z")).alias("axis", "v"), "idx").select("pdb_id", (F.col("idx") * 3 + F.col("axis")).alias("at"), "v")
+    """(pdb_id, k, v): centred coordinates row by row, scaled by the greatest size and padded with 0.
+
+    Of m values over n, every (m div n)-th is taken from the first on, n in all.
+    """
+    axes = centred(atoms).select("pdb_id", F.posexplode(F.array("x", "y", "z")).alias("axis", "v"), "idx")
+    c = axes.select("pdb_id", (F.col("idx") * 3 + F.col("axis")).alias("at"), "v")
     w = Window.partitionBy("pdb_id")
-    s = c.withColumn("m", F.count(F.lit(1)).over(w)).withColumn("stride", F.greatest(F.lit(1), F.ceil(F.col("m") / n))).where(F.col("at") % F.col("stride") == 0).withColumn("top", F.max(F.abs("v")).over(w))
-    own = s.select("pdb_id", F.expr("at div stride").alias("k"), F.coalesce(F.col("v") / F.nullif(F.col("top"), F.lit(0.0)), F.lit(0.0)).alias("v"))
-    every = atoms.select("pdb_id").distinct().select("pdb_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"))
+    step = F.greatest(F.lit(1), F.expr(f"m div {n}"))
+    s = c.withColumn("m", F.count(F.lit(1)).over(w)).withColumn("step", step)
+    s = s.where((F.col("at") % F.col("step") == 0) & (F.expr("at div step") < n)).withColumn("top", F.max(F.abs("v")).over(w))
+    scaled = F.coalesce(F.col("v") / F.nullif(F.col("top"), F.lit(0.0)), F.lit(0.0))
+    own = s.select("pdb_id", F.expr("at div step").alias("k"), scaled.alias("v"))
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    every = atoms.select("pdb_id").distinct().select("pdb_id", places.alias("k"))
     return every.join(own, ["pdb_id", "k"], "left").select("pdb_id", "k", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def secondary_structure(atoms: DataFrame) -> DataFrame:
-    """(pdb_id, idx, ss): mean of the two turn angles at a residue: under 60 degrees E, over 120 H, else C; ends C; then a residue whose neighbours agree takes theirs."""
-    w = Window.partitionBy("pdb_id").orderBy("idx")
+    """(pdb_id, idx, ss): by the mean of the turns at a residue and at the next one.
 
-    def angle(b: int) -> F.Column:
-        u = [F.lag(c, 1 - b).over(w) - F.lag(c, -b).over(w) for c in "xyz"]
-        v = [F.lead(c, 1 + b).over(w) - F.lead(c, b).over(w) for c in "xyz"]
-        dot = sum((p * q for p, q in zip(u, v, strict=True)), F.lit(0.0))
-        size = F.sqrt(sum((p * p for p in u), F.lit(0.0)) * sum((q * q for q in v), F.lit(0.0)))
-        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.nullif(size, F.lit(0.0))))))
-
-    one = atoms.withColumn("a", angle(0)).withColumn("b", angle(1)).withColumn("m", (F.col("a") + F.coalesce("b", "a")) / 2)
-    raw = one.select("pdb_id", "idx", F.when(F.col("m") < 60, "E").when(F.col("m") > 120, "H").otherwise("C").alias("ss"))
+    A turn is the angle between the steps to and from a residue, so 0 on a
+    straight line. A mean under 60 degrees is E, over 120 H, else C; the first
+    two and the last two residues are C. Then a residue between two that agree
+    and aren't C takes theirs.
+    """
+    w = Window.partitionBy("pdb_id").orderBy("idx")
+    step = [(F.lead(c).over(w) - F.col(c)).alias(f"d{c}") for c in "xyz"]
+    count = F.count(F.lit(1)).over(Window.partitionBy("pdb_id"))
+    steps = atoms.select("pdb_id", "idx", *step, (F.row_number().over(w) - 1).alias("place"), count.alias("n"))
+    # a step of no length turns by a right angle
+    steps = steps.withColumn("size", F.sqrt(sum((F.col(f"d{c}") * F.col(f"d{c}") for c in "xyz"), F.lit(0.0))) + 1e-8)
+    dot = sum((F.lag(f"d{c}").over(w) * F.col(f"d{c}") for c in "xyz"), F.lit(0.0))
+    cosine = dot / (F.lag("size").over(w) * F.col("size"))
+    turns = steps.withColumn("turn", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    mean = turns.withColumn("mean", (F.col("turn") + F.lead("turn").over(w)) / 2)
+    inner = (F.col("place") >= 2) & (F.col("place") <= F.col("n") - 3)
+    kind = F.when(inner & (F.col("mean") < math.pi / 3), "E").when(inner & (F.col("mean") > 2 * math.pi / 3), "H").otherwise("C")
+    raw = mean.select("pdb_id", "idx", kind.alias("ss"))
     before, after = F.lag("ss").over(w), F.lead("ss").over(w)
-    return raw.select("pdb_id", "idx", F.when(before == after, before).otherwise(F.col("ss")).alias("ss"))
+    return raw.select("pdb_id", "idx", F.when((before == after) & (before != "C"), before).otherwise(F.col("ss")).alias("ss"))
 
 
 def summary(atoms: DataFrame, contact: float = 8.0) -> DataFrame:

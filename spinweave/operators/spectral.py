@@ -135,7 +135,7 @@ def linkage(distances: DataFrame, method: str = "average") -> DataFrame:
     """(step, a, b, height, size) of agglomerative clustering of (i, j, d); method: single, complete, average or ward.
 
     Leaves are numbered by rising node, merged clusters from their number on.
-    One task by the Lance-Williams recurrence.
+    One task by the Lance-Williams recurrence, each row's nearest other kept.
     """
     if method not in ("single", "complete", "average", "ward"):
         raise ValueError(method)
@@ -146,8 +146,12 @@ def linkage(distances: DataFrame, method: str = "average") -> DataFrame:
         d = np.full((n, n), np.inf)
         d[at[:, 0], at[:, 1]] = d[at[:, 1], at[:, 0]] = pdf["d"].to_numpy(float)
         name, size, alive, rows = list(range(n)), np.ones(n), np.ones(n, bool), []
+        # each row's nearest other (the first of equals): only rows that lose theirs are searched again
+        near = d.argmin(1)
+        least = d[np.arange(n), near]
         for step in range(n - 1):
-            x, y = divmod(int(np.argmin(d)), n)
+            x = int(np.argmin(least))
+            y = int(near[x])
             x, y = min(x, y), max(x, y)
             h = d[x, y]
             a, b = sorted((name[x], name[y]))
@@ -170,6 +174,13 @@ def linkage(distances: DataFrame, method: str = "average") -> DataFrame:
             d[y], d[:, y] = np.inf, np.inf
             d[x, ~alive] = d[~alive, x] = np.inf
             d[x, x] = np.inf
+            closer = alive & ((d[:, x] < least) | ((d[:, x] == least) & (x < near)))
+            lost = np.flatnonzero(alive & ((near == x) | (near == y)))
+            near[closer], least[closer] = x, d[closer, x]
+            for row in {x, *lost.tolist()}:
+                near[row] = d[row].argmin()
+                least[row] = d[row, near[row]]
+            least[y] = np.inf
         return pd.DataFrame(rows, columns=["step", "a", "b", "height", "size"])
 
     return distances.withColumn("one", F.col("i") * 0).groupBy("one").applyInPandas(work, "step int, a long, b long, height double, size long")

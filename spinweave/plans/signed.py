@@ -204,7 +204,7 @@ def components(spark):
 
 @query(_COMP + "SELECT row_number() OVER (ORDER BY count(*) DESC, root) AS rank, root, count(*) AS size FROM c GROUP BY root ORDER BY 3 DESC, 2 LIMIT 10")
 def top_k_clusters(spark):
-    return C.cluster_sizes(_comps(spark)).where("rank <= 10").select(F.col("rank").cast("long").alias("rank"), "root", "size")
+    return C.cluster_sizes(_comps(spark), top=10).select(F.col("rank").cast("long").alias("rank"), "root", "size")
 
 
 @query(_COMP + "SELECT size, count(*) AS cnt FROM (SELECT root, count(*) AS size FROM c GROUP BY root) GROUP BY size")

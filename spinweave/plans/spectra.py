@@ -184,9 +184,10 @@ def distance_features(spark):
     return PR.distance_features(_atoms(spark), 100).select("pdb_id", "k", r6(F.col("v")).alias("v"))
 
 
-@query(f"WITH a AS ({_ATOMS}), c AS (SELECT pdb_id, idx, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM a WINDOW w AS (PARTITION BY pdb_id)), f AS (SELECT pdb_id, idx * 3 AS k, x AS v FROM c UNION ALL SELECT pdb_id, idx * 3 + 1, y FROM c UNION ALL SELECT pdb_id, idx * 3 + 2, z FROM c) SELECT pdb_id, CAST(k // 2 AS BIGINT) AS k, round(v / max(abs(v)) OVER (PARTITION BY pdb_id), 6) + 0.0 AS v FROM f WHERE k % 2 = 0")
+@query(f"WITH a AS ({_ATOMS}), c AS (SELECT pdb_id, idx, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM a WINDOW w AS (PARTITION BY pdb_id)), f AS (SELECT pdb_id, idx * 3 AS k, x AS v FROM c UNION ALL SELECT pdb_id, idx * 3 + 1, y FROM c UNION ALL SELECT pdb_id, idx * 3 + 2, z FROM c) SELECT pdb_id, CAST(k // 2 AS BIGINT) AS k, round(v / max(abs(v)) OVER (PARTITION BY pdb_id), 6) + 0.0 AS v FROM f WHERE k % (60 // 25) = 0 AND k // (60 // 25) < 25")
 def coordinate_features(spark):
-    return PR.coordinate_features(_atoms(spark), 30).select("pdb_id", "k", r6(F.col("v")).alias("v"))
+    """60 values a protein, more than the 25 features."""
+    return PR.coordinate_features(_atoms(spark), 25).select("pdb_id", "k", r6(F.col("v")).alias("v"))
 
 
 @query("SELECT w.id AS at, arg_min(k.id, abs(k.id - w.id) * 1000 + k.id) + 0.5::DOUBLE AS v FROM (SELECT id * 7 AS id FROM range(15) t(id)) k, (SELECT id FROM range(110) t(id)) w GROUP BY w.id")
@@ -194,7 +195,16 @@ def nearest_fill(spark):
     return PR.nearest_fill(spark.range(15).select((F.col("id") * 7).alias("at"), (F.col("id") * 7 + 0.5).alias("v")), spark.range(110).select(F.col("id").alias("at")))
 
 
-@query()
+@query(f"""
+WITH a AS ({_ATOMS}),
+d AS (SELECT pdb_id, idx, lead(x) OVER w - x AS x, lead(y) OVER w - y AS y, lead(z) OVER w - z AS z FROM a WINDOW w AS (PARTITION BY pdb_id ORDER BY idx)),
+s AS (SELECT *, sqrt(x * x + y * y + z * z) + 1e-8 AS size FROM d),
+t AS (SELECT pdb_id, idx, acos(greatest(-1.0, least(1.0, (x * lag(x) OVER w + y * lag(y) OVER w + z * lag(z) OVER w) / (size * lag(size) OVER w)))) AS turn
+      FROM s WINDOW w AS (PARTITION BY pdb_id ORDER BY idx)),
+m AS (SELECT pdb_id, idx, (turn + lead(turn) OVER (PARTITION BY pdb_id ORDER BY idx)) / 2 AS mean FROM t),
+r AS (SELECT pdb_id, idx, CASE WHEN idx < 2 OR idx > 17 THEN 'C' WHEN mean < pi() / 3 THEN 'E' WHEN mean > 2 * pi() / 3 THEN 'H' ELSE 'C' END AS ss FROM m)
+SELECT pdb_id, idx, CASE WHEN lag(ss) OVER w = lead(ss) OVER w AND lag(ss) OVER w <> 'C' THEN lag(ss) OVER w ELSE ss END AS ss
+FROM r WINDOW w AS (PARTITION BY pdb_id ORDER BY idx)""")
 def secondary_structure(spark):
     return PR.secondary_structure(_atoms(spark))
 

@@ -13,10 +13,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components as C
 from ..operators import dynamics as D
 from ..operators import graph as G
 from ..sources import lattices as L
+from .kernels import base_graph, percolation_kernel  # noqa: F401  (a kernel like the others here)
 
 
 def results(spark: SparkSession, path: str) -> DataFrame | None:
@@ -55,22 +55,15 @@ def averages(table: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def ising_kernel(spark: SparkSession, p: dict, first: int, count: int) -> DataFrame:
-    """Series of one lattice (side, p, temperature); replica numbers seed the randomness."""
-    g = L.square(spark, p["side"])
+    """Series of one disordered graph (geo, side, p, temperature); replica numbers seed the runs' randomness."""
+    if p.get("geo") == "er":
+        g = L.erdos_renyi(spark, p["side"], p["link"], salt=1)
+    else:
+        g = base_graph(spark, p)
     s = D.ising(spark, G.flip_hash(g.edges, p["p"]), g.n, temperature=p["temperature"], sweeps=p.get("sweeps", 5), count=first + count)
     return s.where(F.col("replica") >= first)
 
 
-def percolation_kernel(spark: SparkSession, p: dict, first: int, count: int) -> DataFrame:
-    """(replica, pinf, spread) of the positive edges of hashed disorder; the replica number is the salt."""
-    g, out = L.square(spark, p["side"]), None
-    for r in range(first, first + count):
-        e = G.flip_hash(g.edges, p["p"], salt=r).where("w > 0")
-        one = C.order_parameter(C.components(e, g.nodes)).withColumn("replica", F.lit(r).cast("long"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at path, built and written first if it isn't there. Seeds belong in the path as well as in build."""
     known = results(spark, path)

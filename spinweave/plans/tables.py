@@ -44,7 +44,7 @@ def trade_graph(spark, d):
 
 
 @query("""
-WITH p AS (SELECT l_partkey AS p, l_suppkey AS s, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r, count(*) AS n FROM lineitem WHERE l_partkey % 10 = 0 GROUP BY 1, 2)
+WITH p AS (SELECT l_partkey AS p, l_suppkey AS s, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS r, count(*) AS n FROM lineitem GROUP BY 1, 2)
 SELECT a.s AS src, b.s AS dst, count(*) AS shared, CAST(CASE WHEN sum(a.r + b.r) * 3 > sum(a.n + b.n) THEN -1 ELSE 1 END AS INTEGER) AS sign FROM p a JOIN p b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2""")
 def part_graph(spark, d):
     """Suppliers that share a part; negative where over a third of their lines came back."""

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import emb, lattice, signed, spectra, tables
+from .plans import emb, kernels, lattice, signed, spectra, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return [emb, lattice, signed, spectra, tables]
+    return [emb, lattice, signed, spectra, tables, kernels]
 
 
 def queries() -> dict[str, Query]:

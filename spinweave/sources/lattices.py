@@ -202,10 +202,10 @@ def recursive_triangles(spark: SparkSession, generations: int) -> Graph:
 
 def dilute(g: Graph, p: float, salt: int = 0) -> Graph:
     """Without the floor(p * edges) edges of the least hashes."""
-    total = g.edges.count()
-    k = int(p * total)
-    gone = g.edges.select("src", "dst", H.edge_hash(salt=salt).alias("h")).orderBy("h", "src", "dst").limit(k)
-    return Graph(g.name + "_diluted", g.n, None, g.nodes, g.edges.join(gone.select("src", "dst"), ["src", "dst"], "left_anti"))
+    from ..operators.graph import least_hashes
+
+    gone = least_hashes(g.edges, int(p * g.edges.count()), salt)
+    return Graph(g.name + "_diluted", g.n, None, g.nodes, g.edges.join(gone, ["src", "dst"], "left_anti"))
 
 
 def project(nodes: DataFrame, theta: float = math.pi / 6, phi: float = math.pi / 6) -> DataFrame:
