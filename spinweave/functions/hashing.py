@@ -24,8 +24,10 @@ def edge_key(src: str, dst: str, salt: int | str = 0) -> str:
     return f"CAST({src} AS BIGINT) * 1000003 + CAST({dst} AS BIGINT) * 7919 + 17 + {more}"
 
 
-def node_key(node: str, salt: int = 0) -> str:
-    return f"CAST({node} AS BIGINT) + {1000003 * salt}"
+def node_key(node: str, salt: int | str = 0) -> str:
+    """salt: a number, or the name of a column that holds it."""
+    more = str(1000003 * salt) if isinstance(salt, int) else f"CAST({salt} AS BIGINT) * 1000003"
+    return f"CAST({node} AS BIGINT) + {more}"
 
 
 def edge_hash(src: str = "src", dst: str = "dst", salt: int | str = 0) -> Column:
@@ -33,7 +35,7 @@ def edge_hash(src: str = "src", dst: str = "dst", salt: int | str = 0) -> Column
     return F.expr(_sql(edge_key(src, dst, salt), "div"))
 
 
-def node_hash(node: str = "id", salt: int = 0) -> Column:
+def node_hash(node: str = "id", salt: int | str = 0) -> Column:
     return F.expr(_sql(node_key(node, salt), "div"))
 
 
@@ -42,7 +44,7 @@ def edge_hash_sql(src: str, dst: str, salt: int | str = 0) -> str:
     return _sql(edge_key(src, dst, salt), "//")
 
 
-def node_hash_sql(node: str, salt: int = 0) -> str:
+def node_hash_sql(node: str, salt: int | str = 0) -> str:
     return _sql(node_key(node, salt), "//")
 
 
@@ -51,10 +53,10 @@ def flips(p: float, src: str = "src", dst: str = "dst", salt: int | str = 0) ->
     return edge_hash(src, dst, salt) % 1000 < F.lit(1000 * p)
 
 
-def spin(node: str = "id", salt: int = 0) -> Column:
+def spin(node: str = "id", salt: int | str = 0) -> Column:
     """+1 or -1 by the node's hash."""
     return (F.lit(1) - F.lit(2) * (node_hash(node, salt) % 2)).cast("int")
 
 
-def spin_sql(node: str, salt: int = 0) -> str:
+def spin_sql(node: str, salt: int | str = 0) -> str:
     return f"CAST(1 - 2 * (({node_hash_sql(node, salt)}) % 2) AS INTEGER)"

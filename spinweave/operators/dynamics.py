@@ -252,6 +252,14 @@ def trapped_walk(spark: SparkSession, edges: DataFrame, n: int, *, columns: int,
     return replicas(spark, edges, n, count, run, "replica long, steps long, distance double, node long", seed)
 
 
+def random_patterns(spark: SparkSession, count: int, n: int, salt: int = 0) -> DataFrame:
+    """(pattern, id, s): count patterns of n hashed signs, to be stored as Hebbian weights."""
+    from ..functions import hashing as H
+
+    nodes = spark.range(count).select(F.col("id").alias("pattern")).crossJoin(spark.range(n))
+    return nodes.select("pattern", "id", H.spin("id", f"(pattern + {salt})").alias("s"))
+
+
 def start_field(nodes: DataFrame, kind: str = "delta", size: float = 1.0, salt: int = 0) -> DataFrame:
     """field(id, x) of nodes(id): delta (the middle id), constant, uniform in [-size, size) or normal, by hashes of the ids."""
     from ..functions import hashing as H

@@ -2,14 +2,14 @@
 
 A dense eigenproblem is one task's work (up to DENSE nodes); everything after
 it is tables: spectrum(k, ev), modes(k, node, x). Larger graphs have their
-extreme modes by power iteration of tables.
+lowest modes by iteration of tables.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import saved
@@ -21,7 +21,7 @@ DENSE = 4096
 def _dense(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ids, flat = np.unique(pdf[["i", "j"]].to_numpy().ravel(), return_inverse=True)
     if len(ids) > DENSE:
-        raise ValueError(f"{len(ids)} nodes are more than the {DENSE} of the dense path; use extreme_mode")
+        raise ValueError(f"{len(ids)} nodes are more than the {DENSE} of the dense path; use sparse_modes")
     at = flat.reshape(-1, 2)
     a = np.zeros((len(ids), len(ids)))
     np.add.at(a, (at[:, 0], at[:, 1]), pdf["v"].to_numpy(float))
@@ -84,6 +84,70 @@ def extreme_mode(matrix: DataFrame, shift: float, rounds: int = 200, tolerance:
     return last if last is not None else float("nan"), x
 
 
+def _times(matrix: DataFrame, x: DataFrame, m: int) -> DataFrame:
+    """(id, x, y): y = matrix @ x for blocks x(id, x array of m); one join and one aggregation for all m vectors."""
+    own = matrix.join(x.select(F.col("id").alias("j"), F.col("x").alias("other")), "j")
+    sums = own.groupBy(F.col("i").alias("id")).agg(F.array(*[F.sum(F.col("v") * F.col("other")[c]) for c in range(m)]).alias("y"))
+    nothing = F.array(*[F.lit(0.0)] * m)
+    return x.join(sums, "id", "left").select("id", "x", F.coalesce("y", nothing).alias("y"))
+
+
+def _turned(column: str, by: np.ndarray) -> Column:
+    """A block's row times a small matrix."""
+    return F.array(*[sum((F.col(column)[a] * float(by[a, b]) for a in range(by.shape[0])), F.lit(0.0)) for b in range(by.shape[1])])
+
+
+def sparse_modes(matrix: DataFrame, k: int, *, pad: int = 4, degree: int = 12, rounds: int = 40, tolerance: float = 1e-6, every: int = 4) -> DataFrame:
+    """(k, ev, residual, node, x): the k lowest modes of a symmetric matrix(i, j, v) of any size.
+
+    Subspace iteration of k + pad vectors with Chebyshev filters: a step is a
+    join of the matrix with the block of vectors, and only matrices of
+    (k + pad)^2 sums reach the driver. Rounds end when all k residuals
+    |A x - ev x| are under tolerance times the bound of the spectrum. Blocks
+    are written out every few steps. A mode's sign is that of its greatest
+    entry, the least node of equals.
+    """
+    a = saved(matrix.groupBy("i", "j").agg(F.sum("v").alias("v")))
+    nodes = a.select(F.col("i").alias("id")).distinct()
+    high = a.groupBy("i").agg(F.sum(F.abs("v")).alias("s")).agg(F.max("s")).first()[0] or 1.0
+    m = min(k + pad, nodes.count())
+    k = min(k, m)
+    start = [F.pmod(F.xxhash64("id", F.lit(c)), F.lit(1 << 30)) / float(1 << 29) - 1 for c in range(m)]
+    x = saved(nodes.select("id", F.array(*start).alias("x")))
+    for r in range(rounds):
+        both = saved(_times(a, x, m))
+        pairs = [(c, d) for c in range(m) for d in range(c, m)]
+        sums = both.agg(*[F.sum(F.col("x")[c] * F.col("x")[d]) for c, d in pairs], *[F.sum(F.col("x")[c] * F.col("y")[d]) for c, d in pairs]).first()
+        gram, form = np.zeros((m, m)), np.zeros((m, m))
+        for n, (c, d) in enumerate(pairs):
+            gram[c, d] = gram[d, c] = sums[n]
+            form[c, d] = form[d, c] = sums[len(pairs) + n]
+        size, base = np.linalg.eigh(gram)
+        size = np.maximum(size, size[-1] * 1e-14)
+        whiten = base / np.sqrt(size)
+        ev, turn = np.linalg.eigh(whiten.T @ form @ whiten)
+        turn = whiten @ turn
+        both = both.select("id", _turned("x", turn).alias("x"), _turned("y", turn).alias("y"))
+        errors = both.agg(*[F.sqrt(F.sum(F.pow(F.col("y")[c] - float(ev[c]) * F.col("x")[c], 2))) for c in range(m)]).first()
+        if max(errors[:k]) < tolerance * high or r == rounds - 1 or m == nodes.count():
+            break
+        # the filter is small between the least unwanted value and the bound, and grows fast below
+        low = float(max(ev[-1], ev[0] + 1e-9 * high))
+        centre, half = (high + low) / 2, (high - low) / 2
+        t = both.select("id", F.col("x").alias("before"), F.transform(F.arrays_zip("x", "y"), lambda z: (z["y"] - centre * z["x"]) / half).alias("x"))
+        for step in range(degree - 1):
+            y = _times(a, t.select("id", "x"), m).select("id", F.col("x").alias("now"), "y")
+            moved = y.join(t.select("id", "before"), "id")
+            t = moved.select("id", F.col("now").alias("before"), F.transform(F.arrays_zip("now", "y", "before"), lambda z: 2 * (z["y"] - centre * z["now"]) / half - z["before"]).alias("x"))
+            t = saved(t) if step % every == every - 1 else t
+        x = saved(t.select("id", "x"))
+    rows = both.select(F.col("id").alias("node"), F.posexplode("x").alias("k", "x")).where(F.col("k") < k)
+    top = rows.groupBy("k").agg(F.min_by("x", F.struct(-F.round(F.abs("x"), 9), F.col("node"))).alias("top"))
+    table = both.sparkSession.createDataFrame([(c, float(ev[c]), float(errors[c])) for c in range(k)], "k int, ev double, residual double")
+    signed = rows.join(F.broadcast(top), "k").withColumn("x", F.when(F.col("top") < 0, -F.col("x")).otherwise(F.col("x")))
+    return signed.join(F.broadcast(table), "k").select("k", "ev", "residual", "node", "x")
+
+
 def entropy(spec: DataFrame, taus: DataFrame, floor: float = 2.2e-16) -> DataFrame:
     """(i, tau, s, variance) of spectrum(k, ev) and taus(i, x): s = entropy of exp(-tau ev) / Z over ln N; variance of ev.
 

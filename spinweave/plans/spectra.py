@@ -7,8 +7,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hashing as H
+from ..operators import dynamics as D
 from ..operators import graph as G
 from ..operators import protein as PR
+from ..operators import protein_bases as PB
 from ..operators import spectral as SP
 from ..functions import stats as S
 
@@ -209,6 +212,43 @@ def secondary_structure(spark):
     return PR.secondary_structure(_atoms(spark))
 
 
+_LINE = f"SELECT pdb_id, idx * 3 + a AS k, CASE a WHEN 0 THEN x WHEN 1 THEN y ELSE CAST(z AS DOUBLE) END AS v FROM ({_ATOMS}) CROSS JOIN range(3) t(a)"
+
+
+@query(f"""
+WITH f AS ({_LINE}), t AS (SELECT pdb_id, sum(v * v) / 64 AS whole FROM f GROUP BY 1), l AS (SELECT pdb_id, sum(v) * sum(v) / 64 / 64 AS first FROM f GROUP BY 1)
+SELECT t.pdb_id, used, round(CASE used WHEN 0 THEN whole ELSE whole - first END, 4) AS mse FROM t JOIN l ON t.pdb_id = l.pdb_id CROSS JOIN (VALUES (0), (1)) u(used)""")
+def basis_errors(spark):
+    """Errors with no mode and with the constant one of an 8 x 8 torus; 60 coordinates are filled up to 64."""
+    c = PB.error_curves(PB.flat(_atoms(spark)), PB.basis(spark, "l2d_square", 60))
+    return c.where("used < 2").select("pdb_id", F.col("used").cast("int").alias("used"), F.round("mse", 4).alias("mse"))
+
+
+@query(f"SELECT pdb_id, idx, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y, CAST(round(z, 5) AS DOUBLE) AS z FROM ({_ATOMS})")
+def basis_round_trip(spark):
+    """All modes give the coordinates back."""
+    out = PB.fixed_reconstruction(spark, _atoms(spark), "l3d_sg", 22)
+    return out.select("pdb_id", "idx", *[(F.round(c, 5) + 0.0).alias(c) for c in "xyz"])
+
+
+@query(f"""
+WITH a AS ({_ATOMS}), m AS (SELECT pdb_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM a GROUP BY 1)
+SELECT r.pdb_id, r.idx, axis, round(CASE v % 3 WHEN 0 THEN a.x - m.x WHEN 1 THEN a.y - m.y ELSE a.z - m.z END + CASE axis WHEN 0 THEN m.x WHEN 1 THEN m.y ELSE m.z END, 5) + 0.0 AS v
+FROM (SELECT pdb_id, idx, axis, CASE WHEN (idx * 3 + axis) // 2 >= 25 THEN 48 ELSE (idx * 3 + axis) // 2 * 2 END AS v FROM a CROSS JOIN range(3) t(axis)) r
+JOIN a ON a.pdb_id = r.pdb_id AND a.idx = r.v // 3 JOIN m ON m.pdb_id = r.pdb_id""")
+def coordinates_back(spark):
+    """25 of 60 values kept, every second one: the others take the lower neighbour's, those at the end the last one's."""
+    a = _atoms(spark)
+    back = PB.coordinates(PR.coordinate_features(a, 25), PB.coordinate_scales(a, 25), 25)
+    rows = back.select("pdb_id", "idx", F.posexplode(F.array("x", "y", "z")).alias("axis", "v"))
+    return rows.select("pdb_id", "idx", F.col("axis").cast("long").alias("axis"), (F.round("v", 5) + 0.0).alias("v"))
+
+
+@query(f"SELECT p AS pattern, id, {H.spin_sql('id', '(p + 5)')} AS s FROM range(3) q(p) CROSS JOIN range(40) t(id)")
+def random_patterns(spark):
+    return D.random_patterns(spark, 3, 40, salt=5)
+
+
 @query()
 def bandpass(spark):
     t = F.col("id")

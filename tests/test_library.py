@@ -245,3 +245,209 @@ def test_part_graph_takes_every_part(spark, tmp_path):
                     want[a, b] = (n + 1, back + sum(own[a]) + sum(own[b]), lines + len(own[a]) + len(own[b]))
     got = {(r["src"], r["dst"]): (r["shared"], r["sign"]) for r in tables.part_graph(spark, str(tmp_path)).collect()}
     assert got == {k: (n, -1 if back * 3 > lines else 1) for k, (n, back, lines) in want.items()}
+
+
+def turns(points):
+    """Letters by the definition, residue by residue."""
+    p = np.array(points, float)
+    n, out = len(p), ["C"] * len(p)
+
+    def angle(u, v):
+        return np.degrees(np.arccos(np.clip(u @ v / ((np.linalg.norm(u) + 1e-8) * (np.linalg.norm(v) + 1e-8)), -1, 1)))
+
+    for i in range(2, n - 2):
+        steps = [p[i + k + 1] - p[i + k] for k in (-1, 0, 1)]
+        mean = (angle(steps[0], steps[1]) + angle(steps[1], steps[2])) / 2
+        out[i] = "E" if mean < 60 else "H" if mean > 120 else "C"
+    return "".join(out[i - 1] if 0 < i < n - 1 and out[i - 1] == out[i + 1] != "C" else out[i] for i in range(n))
+
+
+def test_secondary_structure_by_its_definition(spark):
+    rng = np.random.default_rng(3)
+    chains = {"line": [(3.8 * i, 0, 0) for i in range(8)], "zigzag": [(i % 2, 0.01 * i, 0) for i in range(8)], "short": [(0, 0, 0), (1, 0, 0), (2, 0, 0)]}
+    chains |= {f"walk{k}": np.cumsum(rng.normal(size=(25, 3)) + 0.4 * k, axis=0).tolist() for k in range(6)}
+    rows = [(name, i, *map(float, p)) for name, points in chains.items() for i, p in enumerate(points)]
+    got = {}
+    for r in PR.secondary_structure(spark.createDataFrame(rows, "pdb_id string, idx long, x double, y double, z double")).collect():
+        got.setdefault(r["pdb_id"], {})[r["idx"]] = r["ss"]
+    letters = {k: "".join(v[i] for i in sorted(v)) for k, v in got.items()}
+    assert letters == {k: turns(v) for k, v in chains.items()}
+    assert letters["line"] == "CCEEEECC" and letters["zigzag"] == "CCHHHHCC" and letters["short"] == "CCC"
+
+
+def test_sparse_modes_against_dense(spark):
+    e = G.flip_hash(L.square(spark, 8).edges, 0.2)
+    m = G.laplacian(e)
+    dense = [r["ev"] for r in SP.spectrum(m).orderBy("k").collect()]
+    rows = SP.sparse_modes(m, 3, pad=5, degree=14, tolerance=1e-5).collect()
+    for k in range(3):
+        own = [r for r in rows if r["k"] == k]
+        assert len(own) == 64 and own[0]["residual"] < 1e-4
+        assert abs(own[0]["ev"] - dense[k]) < 1e-6 and abs(sum(r["x"] ** 2 for r in own) - 1) < 1e-6
+
+
+def test_linkage_against_the_plain_search(spark):
+    """Merge heights by searching all pairs at each step."""
+    rng = np.random.default_rng(4)
+    p = rng.integers(0, 12, (25, 2)).astype(float)
+    full = np.sqrt(((p[:, None] - p) ** 2).sum(2))
+    rows = [(i, j, float(full[i, j])) for i in range(25) for j in range(i + 1, 25)]
+    df = spark.createDataFrame(rows, "i long, j long, d double")
+    for method, join in (("single", min), ("complete", max), ("average", lambda x: sum(x) / len(x))):
+        groups, want = [[i] for i in range(25)], []
+        while len(groups) > 1:
+            h, a, b = min((join([full[x, y] for x in groups[a] for y in groups[b]]), a, b) for a in range(len(groups)) for b in range(a))
+            want.append(h)
+            groups = [g for k, g in enumerate(groups) if k not in (a, b)] + [groups[a] + groups[b]]
+        got = [r["height"] for r in SP.linkage(df, method).orderBy("step").collect()]
+        assert np.allclose(got[: len(want) if method == "single" else 10], want[: len(want) if method == "single" else 10])
+        assert len(got) == 24 and all(r["size"] >= 2 for r in SP.linkage(df, method).collect())
+
+
+def test_least_hashes(spark):
+    e = L.square(spark, 12).edges
+    rows = sorted((r["h"], r["src"], r["dst"]) for r in e.select("src", "dst", H.edge_hash(salt=3).alias("h")).collect())
+    for k in (0, 1, 7, 100, 287, 288, 500):
+        assert sorted(map(tuple, G.least_hashes(e, k, 3).collect())) == sorted(r[1:] for r in rows[:k])
+    assert G.sample_links(e, 9, salt=3).count() == 9
+
+
+def test_replica_kernels_against_numpy(spark):
+    """Disorder, modes, sign clusters and reconstruction of each replica, by plain arrays."""
+    from spinweave.plans import kernels as K
+
+    p = {"side": 5, "p": 0.3, "temperature": 0.4, "sweeps": 3}
+    edges, n = K.disordered(spark, p, 2, 2)
+    by = {}
+    for r in edges.collect():
+        by.setdefault(r["graph"], []).append((r["src"], r["dst"], r["w"]))
+    assert sorted(by) == [2, 3] and n == 25 and len({tuple(sorted(v)) for v in by.values()}) == 2
+    clusters = {}
+    for r in K.cluster_kernel(spark, p, 2, 2).collect():
+        clusters.setdefault(r["replica"], []).append(r["size"])
+    matches = {}
+    for r in K.reconstruction_kernel(spark, p | {"modes": 25}, 2, 2).collect():
+        matches.setdefault(r["replica"], {})[r["k"]] = r["overlap"]
+    starts = {(r["replica"], r["metric"]): r["value"] for r in K.mode_ising_kernel(spark, p, 2, 2).where("step = 0").collect()}
+    for graph, rows in by.items():
+        a = np.zeros((n, n))
+        for i, j, w in rows:
+            a[i, j] = a[j, i] = w
+        ev, v = np.linalg.eigh(np.diag(np.abs(a).sum(0)) - a)
+        assert ev[1] - ev[0] > 1e-6
+        s = np.where(v[:, 0] < 0, -1, 1)
+        label = list(range(n))
+        for _ in range(n):
+            for i, j, _ in rows:
+                if s[i] == s[j]:
+                    label[i] = label[j] = min(label[i], label[j])
+        assert sorted(clusters[graph]) == sorted(label.count(x) for x in set(label))
+        energy = -sum(w * s[i] * s[j] for i, j, w in rows) / len(rows)
+        assert abs(starts[graph, "energy"] - energy) < 1e-9 and abs(starts[graph, "overlap"] - 1) < 1e-9
+        assert len(matches[graph]) == 24 and all(abs(x) <= 1 for x in matches[graph].values())
+    basis = np.linalg.qr(np.random.default_rng(5).normal(size=(8, 8)))[0]
+    spins = np.array([1.0, -1, 1, 1, -1, -1, 1, 1])
+    for k, overlap, matching in K.match_rows(spins, basis):
+        r = sum((basis[q] @ spins) * basis[q] for q in range(k + 1))
+        q = np.mean(np.where(r < 0, -1, 1) * spins)
+        assert abs(q - overlap) < 1e-12 and abs(matching - abs(q) / 2 - 0.5) < 1e-12
+
+
+def test_sweeps_of_spectra_go_on(spark, tmp_path):
+    from spinweave import cli
+    from spinweave.plans import kernels as K
+    from spinweave.plans import sweep
+
+    run = ["spectrum", str(tmp_path / "s"), "--geo", "sc", "--side", "3", "--p", "0.2", "--replicas"]
+    assert cli.main([*run, "2"]) == 2 and cli.main([*run, "3"]) == 1 and cli.main([*run, "3"]) == 0
+    rows = sweep.results(spark, str(tmp_path / "s"))
+    assert rows.count() == 81 and K.value_distribution(rows, 10).agg(F.sum("cnt")).first()[0] == 81
+    assert cli.main(["clusters", str(tmp_path / "c"), "--side", "4;5", "--p", "0.1;0.2", "--replicas", "2"]) == 8
+    sizes = sweep.results(spark, str(tmp_path / "c"))
+    assert {(r["side"], r["n"]) for r in sizes.groupBy("side").agg(F.sum("size").alias("n")).collect()} == {(4, 64), (5, 100)}
+    assert K.size_distribution(sizes, ["side"]).agg(F.sum(F.col("size") * F.col("cnt"))).first()[0] == 164
+    assert cli.main(["modes", str(tmp_path / "m"), "--side", "4", "--p", "0.1", "--howmany", "2", "--replicas", "2"]) == 2
+    modes = sweep.results(spark, str(tmp_path / "m"))
+    assert modes.count() == 64 and K.mode_distribution(modes, 0, 5).agg(F.sum("cnt")).first()[0] <= 32
+
+
+def test_fields_and_lowered_diffusion(spark):
+    """Lowered by its least eigenvalue, diffusion keeps the lowest mode; contact by number is a plain loop."""
+    g = L.square(spark, 4)
+    e = G.flip_hash(g.edges, 0.2)
+    low = SP.eigen(G.laplacian(e), 1).select(F.col("node").alias("id"), "ev", "x").collect()
+    field = spark.createDataFrame([(r["id"], r["x"]) for r in low], "id long, x double")
+    out = {r["id"]: r["x"] for r in D.diffusion(e, field, 0.05, 4, lowest=low[0]["ev"]).collect()}
+    assert all(abs(out[r["id"]] - r["x"]) < 1e-9 for r in low)
+    for kind, total in (("delta", 1.0), ("constant", 16.0)):
+        assert abs(D.start_field(g.nodes, kind).agg(F.sum("x")).first()[0] - total) < 1e-12
+    x = [r["x"] for r in D.start_field(spark.range(4000), "normal", 2.0).collect()]
+    assert abs(np.mean(x)) < 0.15 and abs(np.std(x) - 2) < 0.15
+    rows = D.contact(spark, e, 16, recovery=0.3, sweeps=3, count=2, update="sequential", seed=4).collect()
+    graph = D.Adjacency(*D.load(e, 16))
+    for replica in range(2):
+        rng = np.random.default_rng([4, replica])
+        s = (D.initial(graph, rng, "uniform") > 0).astype(int)
+        for t in range(1, 4):
+            u = rng.random(16)
+            for i in range(16):
+                to, w = graph.lists[i]
+                rate = sum(s[j] * max(c, 0) for j, c in zip(to, w)) if not s[i] else 0.3 + sum(s[j] * max(-c, 0) for j, c in zip(to, w))
+                if u[i] < 1 - np.exp(-rate):
+                    s[i] = 1 - s[i]
+            assert [r["value"] for r in rows if r["replica"] == replica and r["step"] == t] == [s.mean()]
+
+
+def test_composed_protein_features(spark):
+    from spinweave.operators import protein_bases as PB
+
+    rng = np.random.default_rng(8)
+    names = [*PB.RESIDUES, "XXX"]
+    rows, points = [], {}
+    for k, n in enumerate((2, 12, 60)):
+        p = rng.normal(size=(n, 3)) * 9
+        kinds = [names[rng.integers(0, 21)] for _ in range(n)]
+        letters = ["HEC"[rng.integers(0, 3)] for _ in range(n)]
+        points[f"p{k}"] = (p, kinds, letters)
+        rows += [(f"p{k}", i, kinds[i], letters[i], *map(float, p[i])) for i in range(n)]
+    atoms = spark.createDataFrame(rows, "pdb_id string, idx long, residue string, ss string, x double, y double, z double").repartition(3)
+
+    def gathered(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r["pdb_id"], {})[r["k"]] = r["v"]
+        return {k: np.array([v[i] for i in range(len(v))]) for k, v in out.items()}
+
+    enhanced, whole = gathered(PB.enhanced_features(atoms, 120)), gathered(PB.comprehensive_features(atoms, 80))
+    for name, (p, kinds, letters) in points.items():
+        n, q = len(p), p - p.mean(0)
+        shares = [letters.count(x) / n for x in "HEC"], [kinds.count(x) / n for x in PB.RESIDUES]
+        gyration = np.sqrt((q**2).sum() / n)
+        var = sorted(np.linalg.eigvalsh((q.T @ q) / (n - 1)), reverse=True) if n > 2 else []
+        line = [c for row in q for c in row]
+        own = line if len(line) <= 90 else [line[int(i * (len(line) - 1) / 89)] for i in range(90)]
+        full = own + [0.0] * (90 - len(own)) + shares[0] + shares[1] + [gyration / 50] + [x / (var[0] + 1e-8) for x in var]
+        full = np.array(full + [0.0] * (120 - len(full)))
+        assert np.allclose(enhanced[name], full / np.abs(full).max())
+        far = [float(np.linalg.norm(p[i] - p[j])) for i in range(n) for j in range(i + 1, n)]
+        near = n + 2 * sum(d < 8 for d in far)
+        full = far[:40] + shares[1] + shares[0] + [gyration] + ([var[0] - (var[1] + var[2]) / 2, *var] if n > 2 else []) + [near / (n * (n - 1))]
+        full = np.array((full + [0.0] * 80)[:80])
+        assert np.allclose(whole[name], full / full.max())
+    assert {r["pdb_id"] for r in PB.in_range(atoms, 3, 30).select("pdb_id").distinct().collect()} == {"p1"}
+
+
+def test_bases_of_all_topologies(spark):
+    from spinweave.operators import protein_bases as PB
+
+    atoms = spark.createDataFrame([("a", i, float(i % 3), float(i), 1.0) for i in range(6)], "pdb_id string, idx long, x double, y double, z double")
+    for name in PB.FLIPPED:
+        b = PB.basis(spark, name, 18)
+        n = b.agg(F.countDistinct("node")).first()[0]
+        assert n >= 18 and SP.is_orthonormal(b).first()[0] and b.agg(F.max("k")).first()[0] == n - 1
+    curves = PB.curves_by_topology(spark, atoms, ["l2d_square", "er_sg"], least=2)
+    first = {r["topology"]: r["mse"] for r in curves.where("used = 0").collect()}
+    total = sum((i % 3) ** 2 + i**2 + 1 for i in range(6))
+    assert abs(first["l2d_square"] - total / 25) < 1e-9 and abs(first["er_sg"] - total / 18) < 1e-9
+    with pytest.raises(ValueError):
+        PB.topology(spark, "none", 5)
