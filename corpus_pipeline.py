@@ -57,10 +57,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that remain."""
-    df = common.read_docs(spark, sf_dir)
+    """The pieces of all documents that remain. A stage's table goes once the next one is written; the last one stays."""
+    df, last = common.read_docs(spark, sf_dir), None
     for k, (_, stage) in enumerate(STAGES):
         path = common.shared_path(spark, f"pipeline-{k}")
         stage(spark, df, sf_dir).write.parquet(path)
         df = spark.read.parquet(path)
+        if last is not None:
+            common.removed(spark, last)
+        last = path
     return df
