@@ -19,6 +19,8 @@ from . import text as tx
 
 _SPACE, _BLANK, _LETTER, _NUMBER, _OTHER, _UNSURE = range(6)
 _TABLE_SIZE = 0x30000
+#: bytes of text encoded at once, or one text: more share the lookups of distinct pieces, fewer need less memory
+CHUNK = 1 << 20
 
 
 def default_path() -> str:

@@ -105,7 +105,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for b in batches:
-            for part in tx.chunks(b, "text"):
+            for part in tx.chunks(b, "text", bpe.CHUNK):
                 keys = part.column(0).to_pylist()
                 ids, at = enc.encode([t or "" for t in part.column(1).to_pylist()])
                 rows: list[tuple] = []
