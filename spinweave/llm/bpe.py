@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 
@@ -54,7 +55,7 @@ def _classes() -> np.ndarray:
 class Encoder:
     """encode(texts) -> (ids, offsets). Its cache of pieces is bounded by max_pieces."""
 
-    def __init__(self, path: str | None = None, max_pieces: int = 200_000):
+    def __init__(self, path: str | None = None, max_pieces: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -159,13 +160,15 @@ class Encoder:
         s, e = self._spans(cp, cls, offs)
         where, inverse = self._distinct(cp, s, e)
         pieces = [joined[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)]
-        new = [x for x in pieces if x not in self.known]
-        if new:
+        own = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
+        new = np.flatnonzero(own < 0)
+        if len(new):
             if len(self.known) + len(new) > self.max_pieces:
                 self._reset()
-                new = pieces
-            self._add(new)
-        own = np.array([self.known[x] for x in pieces], np.int64)[inverse]
+                new = np.arange(len(pieces))
+            own[new] = len(self.known) + np.arange(len(new))
+            self._add([pieces[k] for k in new.tolist()])
+        own = own[inverse]
         first, count = self.first[own], self.count[own]
         ends = np.cumsum(count)
         ids = self.flat[np.repeat(first - (ends - count), count) + np.arange(ends[-1])]

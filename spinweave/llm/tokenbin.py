@@ -91,7 +91,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for b in batches:
-            for piece in tx.chunks(b, "text"):
+            for piece in tx.chunks(b, "text", bpe.CHUNK):
                 ids, at = enc.encode(piece.column(1).to_pylist())
                 for k, key in enumerate(piece.column(0).to_pylist()):
                     own = np.concatenate([ids[at[k] : at[k + 1]], end])
