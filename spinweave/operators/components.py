@@ -122,32 +122,52 @@ def thresholds(edges: DataFrame, nodes: int, points: int) -> DataFrame:
     """(threshold, giant_nodes, giant_edges): shares of all nodes and edges in the largest component of edges with |w| >= it.
 
     Thresholds are spaced by logarithm from the least to the greatest |w|.
-    Connectivity comes from the spanning forest; edges are counted in ranges.
+    Connectivity comes from the spanning forest, gone through once by falling
+    weight; a node's stays in the largest component are spans of thresholds, so
+    edges are counted by one join with their nodes' spans.
     """
     a = edges.select("src", "dst", F.abs("w").alias("w")).where(F.col("w") > 0)
     lo, hi, total = a.agg(F.min("w"), F.max("w"), F.count(F.lit(1))).first()
     grid = [lo * (hi / lo) ** (k / (points - 1)) for k in range(points - 1)] + [hi] if points > 1 else [lo]
+    falling = sorted(grid, reverse=True)
     tree = spanning_forest(a)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("w", ascending=False)
         ids, flat = np.unique(pdf[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
-        pairs, f, best, at, out = flat.reshape(-1, 2).tolist(), Forest(len(ids)), 1, 0, []
+        pairs, f, at = flat.reshape(-1, 2).tolist(), Forest(len(ids)), 0
         w = pdf["w"].tolist()
-        for t in sorted(grid, reverse=True):
+        since, inside, out = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool), []
+        for k, t in enumerate(falling):
             while at < len(w) and w[at] >= t:
                 f.join(*pairs[at])
-                best = max(best, f.size[f.find(pairs[at][0])])
                 at += 1
-            top = max(range(len(ids)), key=lambda x: (f.size[f.find(x)], -x)) if len(ids) else 0
-            inside = [int(ids[x]) for x in range(len(ids)) if f.find(x) == f.find(top)]
-            out.append((t, best / nodes, inside))
-        return pd.DataFrame(out, columns=["threshold", "giant_nodes", "inside"])
-
-    sizes = saved(tree.withColumn("one", F.col("src") * 0).groupBy("one").applyInPandas(work, "threshold double, giant_nodes double, inside array<long>"))
-    member = sizes.select("threshold", F.explode("inside").alias("src"))
-    counts = a.join(member, "src").where(F.col("w") >= F.col("threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.select("threshold", "giant_nodes").join(counts, "threshold", "left").select("threshold", "giant_nodes", (F.coalesce("n", F.lit(0)) / total).alias("giant_edges"))
+            root = np.array(f.root, np.int64)
+            while len(root) and (root != root[root]).any():
+                root = root[root]
+            size = np.bincount(root, minlength=1)
+            # of equal components the one with the least node
+            now = root == root[np.argmax(size[root])] if len(root) else inside
+            left = np.flatnonzero(inside & ~now)
+            out.append(pd.DataFrame({"node": ids[left], "first": since[left], "after": k, "giant_nodes": None}))
+            since[now & ~inside] = k
+            inside = now
+            out.append(pd.DataFrame({"node": [None], "first": [k], "after": [k], "giant_nodes": [max(1, int(size.max())) / nodes]}))
+        stay = np.flatnonzero(inside)
+        out.append(pd.DataFrame({"node": ids[stay], "first": since[stay], "after": len(falling), "giant_nodes": None}))
+        return pd.concat(out).astype({"node": "Int64", "giant_nodes": "float64"})
+
+    spans = saved(tree.withColumn("one", F.col("src") * 0).groupBy("one").applyInPandas(work, "node long, first long, after long, giant_nodes double"))
+    held = a.join(spans.where("node IS NOT NULL").withColumnRenamed("node", "src"), "src")
+    start = F.greatest("first", F.size(F.filter(F.array(*[F.lit(t) for t in falling]), lambda t: t > F.col("w"))))
+    changes = held.select(start.alias("first"), "after").where(F.col("first") < F.col("after"))
+    both = changes.select(F.explode(F.array(F.struct(F.col("first").alias("k"), F.lit(1).alias("n")), F.struct(F.col("after").alias("k"), F.lit(-1).alias("n")))).alias("x"))
+    steps = both.groupBy("x.k").agg(F.sum("x.n").alias("n"))
+    # as many rows as thresholds from here on
+    table = spans.where("node IS NULL").select(F.col("first").alias("k"), "giant_nodes").join(steps, "k", "left")
+    run = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("k"))
+    by = F.array(*[F.lit(float(t)) for t in falling])
+    return table.select(F.get(by, F.col("k").cast("int")).alias("threshold"), "giant_nodes", (run / total).alias("giant_edges"))
 
 
 def detachment_threshold(edges: DataFrame) -> DataFrame:

@@ -291,7 +291,7 @@ def diffusion(
     from .graph import laplacian, matvec, shift_diagonal
 
     m = laplacian(edges, signed)
-    m, x = saved(m if lowest is None else shift_diagonal(m, -lowest)), field.select("id", "x")
+    m, x = saved(m if lowest is None else shift_diagonal(m, lowest)), field.select("id", "x")
     for k in range(steps):
         moved = x.join(matvec(m, x).withColumnRenamed("x", "y"), "id", "left").select("id", "x", (F.col("x") - dt * F.coalesce("y", F.lit(0.0))).alias("z"))
         if k % 5 == 4:

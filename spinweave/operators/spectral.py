@@ -85,11 +85,11 @@ def extreme_mode(matrix: DataFrame, shift: float, rounds: int = 200, tolerance:
 
 
 def _times(matrix: DataFrame, x: DataFrame, m: int) -> DataFrame:
-    """(id, x, y): y = matrix @ x for blocks x(id, x array of m); one join and one aggregation for all m vectors."""
+    """x with a column y = matrix @ x, for blocks x(id, x array of m, ...); one join and one aggregation for all m vectors."""
     own = matrix.join(x.select(F.col("id").alias("j"), F.col("x").alias("other")), "j")
     sums = own.groupBy(F.col("i").alias("id")).agg(F.array(*[F.sum(F.col("v") * F.col("other")[c]) for c in range(m)]).alias("y"))
     nothing = F.array(*[F.lit(0.0)] * m)
-    return x.join(sums, "id", "left").select("id", "x", F.coalesce("y", nothing).alias("y"))
+    return x.join(sums, "id", "left").withColumn("y", F.coalesce("y", nothing))
 
 
 def _turned(column: str, by: np.ndarray) -> Column:
@@ -97,15 +97,15 @@ def _turned(column: str, by: np.ndarray) -> Column:
     return F.array(*[sum((F.col(column)[a] * float(by[a, b]) for a in range(by.shape[0])), F.lit(0.0)) for b in range(by.shape[1])])
 
 
-def sparse_modes(matrix: DataFrame, k: int, *, pad: int = 4, degree: int = 12, rounds: int = 40, tolerance: float = 1e-6, every: int = 4) -> DataFrame:
+def sparse_modes(matrix: DataFrame, k: int, *, pad: int = 4, degree: int = 12, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
     """(k, ev, residual, node, x): the k lowest modes of a symmetric matrix(i, j, v) of any size.
 
     Subspace iteration of k + pad vectors with Chebyshev filters: a step is a
     join of the matrix with the block of vectors, and only matrices of
     (k + pad)^2 sums reach the driver. Rounds end when all k residuals
-    |A x - ev x| are under tolerance times the bound of the spectrum. Blocks
-    are written out every few steps. A mode's sign is that of its greatest
-    entry, the least node of equals.
+    |A x - ev x| are under tolerance times the bound of the spectrum. A step's
+    block is written out, since the next one reads it twice. A mode's sign is
+    that of its greatest entry, the least node of equals.
     """
     a = saved(matrix.groupBy("i", "j").agg(F.sum("v").alias("v")))
     nodes = a.select(F.col("i").alias("id")).distinct()
@@ -134,13 +134,11 @@ def sparse_modes(matrix: DataFrame, k: int, *, pad: int = 4, degree: int = 12, r
         # the filter is small between the least unwanted value and the bound, and grows fast below
         low = float(max(ev[-1], ev[0] + 1e-9 * high))
         centre, half = (high + low) / 2, (high - low) / 2
-        t = both.select("id", F.col("x").alias("before"), F.transform(F.arrays_zip("x", "y"), lambda z: (z["y"] - centre * z["x"]) / half).alias("x"))
-        for step in range(degree - 1):
-            y = _times(a, t.select("id", "x"), m).select("id", F.col("x").alias("now"), "y")
-            moved = y.join(t.select("id", "before"), "id")
-            t = moved.select("id", F.col("now").alias("before"), F.transform(F.arrays_zip("now", "y", "before"), lambda z: 2 * (z["y"] - centre * z["now"]) / half - z["before"]).alias("x"))
-            t = saved(t) if step % every == every - 1 else t
-        x = saved(t.select("id", "x"))
+        t = saved(both.select("id", F.col("x").alias("before"), F.transform(F.arrays_zip("x", "y"), lambda z: (z["y"] - centre * z["x"]) / half).alias("x")))
+        for _ in range(degree - 1):
+            step = F.transform(F.arrays_zip("x", "y", "before"), lambda z: 2 * (z["y"] - centre * z["x"]) / half - z["before"])
+            t = saved(_times(a, t, m).select("id", F.col("x").alias("before"), step.alias("x")))
+        x = t.select("id", "x")
     rows = both.select(F.col("id").alias("node"), F.posexplode("x").alias("k", "x")).where(F.col("k") < k)
     top = rows.groupBy("k").agg(F.min_by("x", F.struct(-F.round(F.abs("x"), 9), F.col("node"))).alias("top"))
     table = both.sparkSession.createDataFrame([(c, float(ev[c]), float(errors[c])) for c in range(k)], "k int, ev double, residual double")

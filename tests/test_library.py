@@ -276,13 +276,13 @@ def test_secondary_structure_by_its_definition(spark):
 
 
 def test_sparse_modes_against_dense(spark):
-    e = G.flip_hash(L.square(spark, 8).edges, 0.2)
+    e = G.flip_hash(L.square(spark, 6).edges, 0.2)
     m = G.laplacian(e)
     dense = [r["ev"] for r in SP.spectrum(m).orderBy("k").collect()]
-    rows = SP.sparse_modes(m, 3, pad=5, degree=14, tolerance=1e-5).collect()
-    for k in range(3):
+    rows = SP.sparse_modes(m, 2, pad=5, degree=8, tolerance=1e-5).collect()
+    for k in range(2):
         own = [r for r in rows if r["k"] == k]
-        assert len(own) == 64 and own[0]["residual"] < 1e-4
+        assert len(own) == 36 and own[0]["residual"] < 1e-4
         assert abs(own[0]["ev"] - dense[k]) < 1e-6 and abs(sum(r["x"] ** 2 for r in own) - 1) < 1e-6
 
 
